@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from . import bpe
+from . import arc, bpe, token_files
 
 QUERIES = {
+    "op1_arc_to_warc": arc.query,
+    "op2_token_files": token_files.query,
     "op10_byte_bpe": bpe.query,
 }
 
-SQL: dict[str, str] = {}
+SQL = {
+    "op1_arc_to_warc": arc.SQL,
+}
