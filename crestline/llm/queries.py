@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from . import arc, bpe, token_files
+from . import arc, bpe, segment_search, token_files
 
 QUERIES = {
     "op1_arc_to_warc": arc.query,
     "op2_token_files": token_files.query,
+    "op6_segment_top_k": segment_search.query,
     "op10_byte_bpe": bpe.query,
 }
 
 SQL = {
+    "op6_segment_top_k": segment_search.SQL,
     "op1_arc_to_warc": arc.SQL,
 }
