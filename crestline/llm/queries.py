@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-from . import arc, bpe, segment_search, token_files, wrappers
+from . import arc, bpe, secrets, segment_search, token_files, wrappers
 
 QUERIES = {
     "op1_arc_to_warc": arc.query,
     "op2_token_files": token_files.query,
+    "op3_secret_ownership": secrets.query,
     "op5_wrapper_text": wrappers.query,
     "op6_segment_top_k": segment_search.query,
     "op10_byte_bpe": bpe.query,
 }
 
 SQL = {
+    "op3_secret_ownership": secrets.SQL,
     "op6_segment_top_k": segment_search.SQL,
     "op1_arc_to_warc": arc.SQL,
 }
