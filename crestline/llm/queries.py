@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import arc, bpe, jaccard_join, secrets, segment_search, tiling, token_files, wrappers
+from . import arc, bpe, jaccard_join, quality, secrets, segment_search, tiling, token_files, wrappers
 
 QUERIES = {
     "op1_arc_to_warc": arc.query,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_secret_ownership": secrets.query,
     "op5_wrapper_text": wrappers.query,
     "op6_segment_top_k": segment_search.query,
+    "op7_kernel_quality": quality.query,
     "op8_string_tiling": tiling.query,
     "op9_jaccard_join": jaccard_join.query,
     "op10_byte_bpe": bpe.query,
