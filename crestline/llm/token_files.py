@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .common import chunks, cut, file_system, shared_dir, spread, text_or_empty
 
-MEMO_LIMIT = 300_000
+MEMO_LIMIT = 500_000
 FILE_IDS = 16 << 20
 BATCH_SEQUENCES = 256
 
@@ -37,15 +37,10 @@ class WordEncoder(dict):
     """Ids of whole texts as little-endian bytes; as a dict it is the bounded memo from word to its ids.
 
     The memo keeps the words that came first, among them the frequent ones; others are known for one call (`extra`).
-
-    A new word is looked up by its parts: the tokenizer's pattern always cuts before a closing run of punctuation, and
-    it lowers case, so `core` and `tail` are encoded apart and shared by words that differ in those alone. Case is
-    lowered here only in Latin-1 words, where it can't touch any other character. Parts go to the library in one text,
-    between marks that no part holds.
+    New words go to the library in one text, between marks that no other word holds.
     """
 
     MARK = "\x01"
-    PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
     def __init__(self, tokenizer_json: str, dtype: str, memo: int = MEMO_LIMIT):
         from tokenizers import Tokenizer
@@ -53,47 +48,30 @@ class WordEncoder(dict):
         super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer, self.dtype, self.memo = Tokenizer.from_str(tokenizer_json), dtype, memo
-        self.parts: dict[str, bytes] = {"": b""}
-        self.most_parts = 2 * memo + 200_000
+        self[""] = b""
         self.mark = self.whole(self.MARK)
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
 
-    def cut(self, word: str) -> tuple[str, str]:
-        core = word.rstrip(self.PUNCTUATION)
-        if "<|" in word or core and not core[-1].isalnum():
-            return word, ""
-        if not core.isascii():
-            try:
-                core.encode("latin-1")
-            except UnicodeEncodeError:
-                return word, ""
-        return core.lower(), word[len(core) :]
-
     def learn(self, words: set[str]) -> None:
-        if len(self.parts) > self.most_parts:
-            self.parts = {"": b""}
-        pairs = [(w, *self.cut(w)) for w in words]
-        new = list({p for _, *both in pairs for p in both} - self.parts.keys())
-        plain = [p for p in new if self.MARK not in p]
+        new = [w for w in words if self.MARK not in w]
         width = np.dtype(self.dtype).itemsize
-        for a in range(0, len(plain), 8192):
-            some = plain[a : a + 8192]
+        extra = {w: self.whole(w) for w in words if self.MARK in w}
+        for a in range(0, len(new), 16384):
+            some = new[a : a + 16384]
             raw = self.whole(f" {self.MARK} ".join(some))
-            ids = np.frombuffer(raw, self.dtype)
-            ends = (np.flatnonzero(ids == np.frombuffer(self.mark, self.dtype)[0]) * width).tolist() if len(self.mark) == width else []
+            ends = (np.flatnonzero(np.frombuffer(raw, self.dtype) == np.frombuffer(self.mark, self.dtype)[0]) * width).tolist() if len(self.mark) == width else []
             if len(ends) != len(some) - 1:
-                self.parts.update((p, self.whole(p)) for p in some)
+                extra.update((w, self.whole(w)) for w in some)
                 continue
             start = 0
-            for p, end in zip(some, [*ends, len(raw)]):
-                self.parts[p] = raw[start:end]
+            for w, end in zip(some, [*ends, len(raw)]):
+                extra[w] = raw[start:end]
                 start = end + width
-        self.parts.update((p, self.whole(p)) for p in new if self.MARK in p)
-        self.extra = {w: self.parts[core] + self.parts[tail] for w, core, tail in pairs}
+        self.extra = extra
         if len(self) < self.memo:
-            self.update(self.extra)
+            self.update(extra)
 
     def __missing__(self, word: str) -> bytes:
         return self.extra[word]
