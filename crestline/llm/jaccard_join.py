@@ -34,9 +34,10 @@ from .common import chunks, cut, text_or_empty
 from .shingles import mix, sets
 
 HOT_LIST = 1 << 18
-HOT_CHUNK = 4
+HOT_CHUNK = 3
 HOT_LEAST = 16
 TILE = 2048
+CHUNK = 1 << 20
 ID_BYTES = 32 << 20
 
 
@@ -58,7 +59,7 @@ def describe(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Rows of kind 0 (id, size, key, bitmap) for documents and of kind 1 (key: a token, n: its count in a chunk)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in chunks(batches, "text"):
+        for batch in chunks(batches, "text", CHUNK):
             own = list(sets(batch.column("text")))
             keys = [key_of(s) for s in own]
             yield packed(0, batch.column("id"), [len(s) for s in own], keys, [bitmap(s) if len(s) else None for s in own])
@@ -81,7 +82,7 @@ def shared_index(docs: DataFrame, hot, percent: int, text_col: str) -> DataFrame
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         tokens, places = hot.value
-        for batch in chunks(batches, "text"):
+        for batch in chunks(batches, "text", CHUNK):
             out = []
             for s in sets(batch.column("text")):
                 n = len(s)
@@ -207,7 +208,7 @@ def arrays_of(docs: DataFrame, ids: DataFrame, count: int, id_col: str, text_col
                 own = batch.column("id").to_numpy()
                 at = np.minimum(np.searchsorted(wanted.value, own), max(0, len(wanted.value) - 1))
                 batch = batch.filter(pa.array(wanted.value[at] == own if len(wanted.value) else np.zeros(len(own), bool)))
-            for part in chunks(iter([batch]), "text"):
+            for part in chunks(iter([batch]), "text", CHUNK):
                 own = list(sets(part.column("text")))
                 yield pa.RecordBatch.from_arrays([pa.array([key_of(s) for s in own], pa.int64()), pa.array([s.tobytes() for s in own], pa.binary())], ["key", "shingles"])
 

@@ -122,7 +122,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     source = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text")).join(F.broadcast(own), "id")
 
     def described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in chunks(batches, "text"):
+        for batch in chunks(batches, "text", 1 << 20):
             stats = statistics(batch.column("text"))
             yield pa.RecordBatch.from_arrays([pa.array(stats.tolist(), pa.list_(pa.float64())), batch.column("label"), batch.column("part")], ["x", "label", "part"])
 
@@ -168,7 +168,7 @@ def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col
     source = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"), held_out(id_col).alias("held_out"), kept.alias("kept"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in chunks(batches, "text"):
+        for batch in chunks(batches, "text", 1 << 20):
             scores = np.full(batch.num_rows, 0.5) if shared.value is None else shared.value.score(statistics(batch.column("text")))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("id", "held_out", "kept")), pa.array(scores)], ["id", "held_out", "kept", "score"])
 
