@@ -150,30 +150,34 @@ def codec_of(shared) -> Codec:
     return _codecs[name]
 
 
-def round_trip(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Columns id_col, ids (array of int) and decoded (binary, from the ids).
+def round_trip(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """Columns id_col, those to keep, ids (array of int), decoded (binary, from the ids) and exact (decoded is the text).
 
     The vocabulary is read by the driver and broadcast: its size is that of the tokenizer file, whatever the corpus.
     """
     spark = docs.sparkSession
     ranks = read_ranks(ranks_path)
     shared = spark.sparkContext.broadcast(((ranks_path, len(ranks), pattern), ranks, PerfectHash(ranks), pattern))
-    source = docs.select(F.col(id_col).alias("key"), text_or_empty(text_col).alias("text"))
+    kept = F.struct(*keep) if keep else F.lit(0)
+    source = docs.select(F.col(id_col).alias("key"), text_or_empty(text_col).alias("text"), kept.alias("kept"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = codec_of(shared)
         for batch in chunks(batches, "text"):
-            ids, counts, decoded = [], [0], []
+            ids, counts, decoded, exact = [], [0], [], []
             for text in batch.column("text").to_pylist():
                 own = codec.encode(text)
                 ids.append(np.array(own, "<i4"))
                 counts.append(counts[-1] + len(own))
                 decoded.append(codec.decode(own))
+                exact.append(decoded[-1] == text.encode())
             flat = pa.array(np.concatenate(ids) if ids else np.empty(0, "<i4"))
-            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.ListArray.from_arrays(pa.array(counts, pa.int32()), flat), pa.array(decoded, pa.binary())], ["key", "ids", "decoded"])
+            lists = pa.ListArray.from_arrays(pa.array(counts, pa.int32()), flat)
+            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("kept"), lists, pa.array(decoded, pa.binary()), pa.array(exact, pa.bool_())], ["key", "kept", "ids", "decoded", "exact"])
 
-    kind = source.schema["key"].dataType.simpleString()
-    return source.mapInArrow(run, f"key {kind}, ids array<int>, decoded binary").withColumnRenamed("key", id_col)
+    kinds = {f.name: f.dataType.simpleString() for f in source.schema}
+    out = source.mapInArrow(run, f"key {kinds['key']}, kept {kinds['kept']}, ids array<int>, decoded binary, exact boolean")
+    return out.select(F.col("key").alias(id_col), *(F.col(f"kept.{c}").alias(c) for c in keep), "ids", "decoded", "exact")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -50,7 +50,7 @@ def scan(docs: DataFrame, id_col: str, text_col: str, owner_col: str, repo_cols:
     text = text_or_empty(text_col)
     named = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     found = [matches(text, p, g).alias(k) for k, (p, g, _) in PATTERNS.items()]
-    return cut(docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("key"), named(owner_col).alias("owner"), F.to_json(F.array(*(named(c) for c in repo_cols))).alias("repo"), *found, matches(text, CANDIDATE, 0).alias("candidate")))
+    return cut(docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("key"), F.xxhash64(text).alias("text_hash"), named(owner_col).alias("owner"), F.to_json(F.array(*(named(c) for c in repo_cols))).alias("repo"), *found, matches(text, CANDIDATE, 0).alias("candidate")))
 
 
 def placed(scanned: DataFrame) -> DataFrame:
@@ -78,7 +78,7 @@ def ownership(found: DataFrame) -> DataFrame:
 
 
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_cols: tuple[str, ...] = ("source", "lang"), copied: int = 3) -> tuple[DataFrame, DataFrame]:
-    """(rows, findings). rows: row and key of every document. findings: row, kind, start, end, hash, owners, repos and
+    """(rows, findings). rows: row, key and text_hash of every document. findings: row, kind, start, end, hash, owners, repos and
     verdict: 'copied' (at least `copied` owners), 'owned' (one) or 'shared'."""
     scanned = scan(docs, id_col, text_col, owner_col, repo_cols)
     found = cut(placed(scanned))
@@ -94,7 +94,7 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_
     ends = judged.withColumn("at", F.when(is_base, F.col("start")).otherwise(F.col("end") - 1)).withColumn("last", (~is_base).cast("int"))
     clear = ends.withColumn("reach", F.max(F.when(is_base, F.col("end"))).over(order))
     findings = clear.where(is_base | F.col("reach").isNull() | (F.col("reach") <= F.col("start"))).select("row", "kind", "start", "end", "hash", "owners", "repos", "verdict")
-    return scanned.select("row", F.col("key").alias(id_col)), findings
+    return scanned.select("row", F.col("key").alias(id_col), "text_hash"), findings
 
 
 def listing(keep: Column | None = None) -> Column:
@@ -110,7 +110,7 @@ def digests(rows: DataFrame, findings: DataFrame) -> DataFrame:
     own = findings.groupBy("row").agg(*(F.count_if(F.col("kind") == k).alias(f"n_{k}") for k in BASE), listing(base).alias("base"), listing().alias("spans"))
     out = rows.join(own, "row", "left")
     return out.select(
-        *[c for c in rows.columns if c != "row"],
+        *[c for c in rows.columns if c not in ("row", "text_hash")],
         *(F.coalesce(f"n_{k}", F.lit(0)).cast("long").alias(f"n_{k}") for k in BASE),
         F.sha2(F.coalesce("base", F.lit("")).cast("binary"), 256).alias("base_sha256"),
         F.coalesce("spans", F.lit("")).alias("spans"),
@@ -121,6 +121,35 @@ def query(spark, sf_dir: str) -> DataFrame:
     return digests(*find(spark.read.parquet(f"{sf_dir}/documents.parquet")))
 
 
+def masked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_cols: tuple[str, ...] = ("source", "lang"), mask: str = "[SECRET]", length_col: str = "n_chars") -> DataFrame:
+    """The documents with every found span replaced (overlapping spans by one mask); length_col, if present, is set anew.
+
+    Spans are joined by id and hash of the text, so rows that share an id are masked by the spans of their own text.
+    """
+    rows, findings = find(docs, id_col, text_col, owner_col, repo_cols)
+    spans = findings.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("spans"))
+    # Spans that touch become one: a span starts a new one if it begins at or after the furthest end so far.
+    whole = F.aggregate(
+        "spans",
+        F.array().cast("array<struct<start:bigint,end:bigint>>"),
+        lambda acc, x: F.when(
+            (F.size(acc) > 0) & (x["start"] < F.try_element_at(acc, F.lit(-1))["end"]),
+            F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(F.struct(F.try_element_at(acc, F.lit(-1))["start"].alias("start"), F.greatest(F.try_element_at(acc, F.lit(-1))["end"], x["end"]).alias("end")))),
+        ).otherwise(F.concat(acc, F.array(F.struct(x["start"].alias("start"), x["end"].alias("end"))))),
+    )
+    listed = rows.join(spans, "row").groupBy(F.col(id_col).alias("masked_id"), "text_hash").agg(F.first("spans").alias("spans"))
+    listed = listed.select("masked_id", F.col("text_hash").alias("masked_hash"), whole.alias("masked_spans"))
+    text = F.col(text_col)
+    ends = F.concat(F.array(F.lit(0).cast("bigint")), F.transform("masked_spans", lambda x: x["end"]))
+    starts = F.concat(F.transform("masked_spans", lambda x: x["start"]), F.array(F.length(text).cast("bigint")))
+    pieces = F.zip_with(ends, starts, lambda a, b: F.substring(text, (a + 1).cast("int"), F.greatest(b - a, F.lit(0)).cast("int")))
+    out = docs.join(listed, docs[id_col].eqNullSafe(F.col("masked_id")) & (F.xxhash64(text_or_empty(text_col)) == F.col("masked_hash")), "left")
+    out = out.withColumn(text_col, F.when(F.col("masked_spans").isNotNull(), F.array_join(pieces, mask)).otherwise(text))
+    if length_col in docs.columns:
+        out = out.withColumn(length_col, F.when(F.col("masked_spans").isNotNull(), F.length(text_col).cast(docs.schema[length_col].dataType)).otherwise(F.col(length_col)))
+    return out.select(*docs.columns)
+
+
 def _sql() -> str:
     """The same in DuckDB: cut each text at the matches, sum the pieces, count owners, keep what is clear of base spans."""
     kinds = {**PATTERNS, "candidate": (CANDIDATE, 0, 20)}
