@@ -3,13 +3,50 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .functions.hashing import cell_sql
+from .operators.protocols import PROTOCOLS
+from .plans import relational
+from .sources.lists import SQL, load
+
+K = 10
+
+
+def protocol(name: str, source: str, spark: SparkSession, sf_dir: str) -> DataFrame:
+    return PROTOCOLS[name][1](load(spark, sf_dir, source), K).frame
+
+
+def exact_sql(source: str) -> str:
+    return f"SELECT item_id, CAST(sum(score) AS BIGINT) AS score FROM ({SQL[source]}) x GROUP BY item_id ORDER BY score DESC, item_id DESC LIMIT {K}"
+
+
+def filter_sql(source: str, m: int, hashes: int) -> str:
+    """The approximate filters: the best items of the first round, and every row whose cells they set."""
+    cells = ", ".join(f"b{i} AS (SELECT DISTINCT {cell_sql('item_id', m, i)} AS cell FROM e)" for i in range(hashes))
+    test = " AND ".join(f"{cell_sql('item_id', m, i)} IN (SELECT cell FROM b{i})" for i in range(hashes))
+    return f"""WITH x AS ({SQL[source]}), r AS (SELECT *, row_number() OVER (PARTITION BY node_id ORDER BY score DESC, item_id DESC) AS rnk FROM x),
+e AS (SELECT item_id, sum(score) AS s FROM r WHERE rnk <= {K} GROUP BY item_id ORDER BY s DESC, item_id DESC LIMIT {K}), {cells}
+SELECT item_id, CAST(sum(score) AS BIGINT) AS score FROM r WHERE rnk <= {K} OR ({test}) GROUP BY item_id ORDER BY score DESC, item_id DESC LIMIT {K}"""
+
+
+def naive_2k_sql(source: str) -> str:
+    return f"SELECT item_id, CAST(sum(score) AS BIGINT) AS score FROM (SELECT *, row_number() OVER (PARTITION BY node_id ORDER BY score DESC, item_id DESC) AS rnk FROM ({SQL[source]}) x) r WHERE rnk <= {2 * K} GROUP BY item_id ORDER BY score DESC, item_id DESC LIMIT {K}"
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    out: dict[str, Callable] = {name: partial(protocol, name, "L1") for name in PROTOCOLS}
+    out |= {f"{name}_zipf": partial(protocol, name, "Z2") for name in ("p1_naive", "p4_tput", "p6_tput_tight", "p9_sketch_two_rounds", "p10_extra_round")}
+    out |= {name: partial(relational.run, sql=relational.text(name)) for name in relational.STEPS}
+    out |= {name: partial(relational.run, sql=sql) for name, sql in relational.SOURCES.items()}
+    return out
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    out = {name: exact_sql("L1") for name, (exact, _) in PROTOCOLS.items() if exact}
+    out |= {name: exact_sql("Z2") for name in queries() if name.endswith("_zipf") and name.startswith("p")}
+    out |= {"p2_naive_2k": naive_2k_sql("L1"), "p15_approximate_gcs": filter_sql("L1", 1 << 12, 1), "p19_approximate_bloom": filter_sql("L1", 1 << 10, 3)}
+    out |= {name: relational.text(name) for name in relational.STEPS}
+    return out | relational.SOURCES
