@@ -1,12 +1,12 @@
 """Exact Jaccard self-join of word shingle sets, with size-banded tiles and hashed bitmap signatures.
 
 1. Sets. Each text's distinct shingles give its size, a 64-bit key (equal sets share one; from here on a set counts
-   once) and a hashed bitmap of about a bit or two for each shingle. Tokens that repeat within a chunk of texts are
+   once) and a hashed bitmap of four to eight bits for each shingle. Tokens that repeat within a chunk of texts are
    counted, so that the common ones of the corpus are known (HOT_LIST at most: only an order, never a filter).
 2. Index. Under a global order (common tokens last) two sets that reach the threshold t share one of their first
    n - ceil(t*n) + 1 tokens. Those are sorted by token and size; tokens of one set drop out.
-3. First links. In each token's run, every set is paired with the run's first and the one before it. Pairs whose
-   bitmaps allow the threshold are compared exactly, and linked sets form classes.
+3. First links. In each token's run, every set is paired with the run's first and the one before it, by size and then
+   in ORDERS other orders. Pairs whose bitmaps allow the threshold are compared exactly; linked sets form classes.
 4. Tiles. What is left are sets of different classes that share a token. Runs are cut into tiles of TILE sets by size;
    only tiles whose sizes are near enough meet. Within a pair of tiles, bit counts bound the overlap from above:
    |A & B| <= |A| - bits(a & ~b). Pairs that pass, and were not compared before, are compared exactly on the sorted
@@ -26,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import components
@@ -37,6 +37,7 @@ HOT_LIST = 1 << 18
 HOT_CHUNK = 3
 HOT_LEAST = 16
 TILE = 2048
+ORDERS = 1
 CHUNK = 1 << 20
 ID_BYTES = 32 << 20
 
@@ -48,8 +49,8 @@ def key_of(s: np.ndarray) -> int:
 
 
 def bitmap(s: np.ndarray) -> bytes:
-    """Bit h % W of each shingle h; W is the power of two from the size up, 64 at least."""
-    width = max(64, 1 << int(len(s) - 1).bit_length())
+    """Bit h % W of each shingle h; W is the power of two from four times the size up, 64 at least."""
+    width = max(64, 4 << int(len(s) - 1).bit_length())
     bits = np.zeros(width, np.uint8)
     bits[s & np.uint64(width - 1)] = 1
     return np.packbits(bits, bitorder="little").tobytes()
@@ -233,7 +234,7 @@ def compared(pairs: DataFrame, arrays: DataFrame, percent: int) -> DataFrame:
 
 
 def tile_pairs(members: DataFrame, percent: int) -> DataFrame:
-    """Members (token, tile, n, key, class, bits) of runs dealt to the pairs of tiles whose sizes are near enough.
+    """Members (token, tile, n, key, class) of runs dealt to the pairs of tiles whose sizes are near enough.
 
     A tile meets itself and later ones up to the size band, so a member is repeated for each tile in reach, not for
     each other member.
@@ -242,7 +243,14 @@ def tile_pairs(members: DataFrame, percent: int) -> DataFrame:
     other = tiles.select("token", F.col("tile").alias("tile2"), F.col("low").alias("low2"))
     met = tiles.join(other, "token").where((F.col("tile2") >= F.col("tile")) & (F.col("low2") * percent <= F.col("high") * 100)).select("token", "tile", "tile2")
     sides = met.select("token", F.col("tile").alias("t1"), F.col("tile2").alias("t2"), F.explode(F.array_distinct(F.array("tile", "tile2"))).alias("tile"))
-    return members.join(sides, ["token", "tile"]).select("token", "t1", "t2", (F.col("tile") == F.col("t2")).alias("second"), "n", "key", "class", "bits")
+    return members.join(sides, ["token", "tile"]).select("token", "t1", "t2", (F.col("tile") == F.col("t2")).alias("second"), "n", "key", "class")
+
+
+def in_several(index: DataFrame, classes: DataFrame) -> DataFrame:
+    """The members (token, rank, n, key, class) of runs that hold several classes, and more than one tried pair."""
+    members = index.select("token", "rank", "n", "key").join(classes.withColumnRenamed("node", "key"), "key", "left").withColumn("class", F.coalesce("root", "key")).drop("root")
+    several = members.groupBy("token").agg((F.min("class") != F.max("class")).alias("several"), F.count("*").alias("size")).where("several AND size > 2").select("token")
+    return members.join(several, "token")
 
 
 def cross(percent: int):
@@ -312,11 +320,19 @@ def join(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: s
     links = verified(docs, tried, maps, percent, id_col, text_col)
     classes = cut(components.label(links))
 
-    members = index.select("token", "rank", "n", "key").join(classes.withColumnRenamed("node", "key"), "key", "left").withColumn("class", F.coalesce("root", "key"))
-    several = members.groupBy("token").agg((F.min("class") != F.max("class")).alias("several"), F.count("*").alias("size")).where("several AND size > 2").select("token")
-    left = members.join(several, "token").join(maps.select("key", "bits"), "key").withColumn("tile", F.floor(F.col("rank") / TILE).cast("long"))
-    dealt = tile_pairs(cut(left.select("token", "tile", "n", "key", "class", "bits")), percent)
-    more = dealt.repartition("token", "t1", "t2").sortWithinPartitions("token", "t1", "t2", "n", "key").mapInArrow(cross(percent), "a long, b long").distinct()
+    # Further pairs along the runs in other orders, so that classes close up before any run is compared in full.
+    for turn in range(ORDERS):
+        members = in_several(index, classes)
+        last = F.lag(F.struct("key", "class")).over(Window.partitionBy("token").orderBy(F.xxhash64("key", F.lit(turn)), "key"))
+        met = members.withColumn("last", last).where("last.class <> class")
+        more = cut(met.select(F.greatest("key", "last.key").alias("b"), F.least("key", "last.key").alias("a")).distinct().join(tried, ["a", "b"], "left_anti"))
+        links = cut(links.unionAll(verified(docs, more, maps, percent, id_col, text_col)))
+        tried = cut(tried.select("a", "b").unionAll(more.select("a", "b")))
+        classes = cut(components.label(links))
+
+    members = in_several(index, classes).withColumn("tile", F.floor(F.col("rank") / TILE).cast("long"))
+    dealt = tile_pairs(cut(members), percent).join(maps.select("key", "bits"), "key")
+    more = dealt.repartition("token", "t1", "t2").sortWithinPartitions("token", "t1", "t2", "n", "key").select("token", "t1", "t2", "second", "n", "key", "class", "bits").mapInArrow(cross(percent), "a long, b long").distinct()
     more = cut(more.join(tried, ["a", "b"], "left_anti"))
     links = links.unionAll(verified(docs, more, maps, percent, id_col, text_col, bounds=False))
 
