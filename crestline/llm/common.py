@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -30,6 +31,8 @@ def cut(df: DataFrame, codec: str = "zstd") -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/cut"
     df.write.option("compression", codec).parquet(path)
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()  # lets the cleaner drop shuffle files that nothing refers to any more
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -21,11 +21,11 @@ an empty result; other columns are not read.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,9 +33,10 @@ from .common import chunks, cut, text_or_empty
 from .shingles import buffers, mix, powers
 
 LENGTH = 50
-GRAM = 20
-SLICE = 4 << 20
-SEEN = 200_000
+GRAM = 16
+SLICE = 8 << 20
+SEEN = 300_000
+BROADCAST_SPANS = 1 << 20
 SORT_BYTES = 1 << 20
 _PLACE = np.uint64((1 << 26) - 1)
 
@@ -212,7 +213,7 @@ def pieces_of(source: DataFrame, shared: DataFrame, length: int) -> DataFrame:
             rows = []
             for t, a, b, anchor in zip(k[keep].tolist(), first[keep].tolist(), last[keep].tolist(), h[keep].view(np.int64).tolist()):
                 piece = raw[a : b + length]
-                mark = hashlib.blake2b(piece, digest_size=12).digest()
+                mark = xxhash.xxh3_64_intdigest(piece) - (1 << 63)
                 doc = int(ids[t])
                 least = seen.get(mark)
                 settled = least is not None and least < doc
@@ -220,54 +221,82 @@ def pieces_of(source: DataFrame, shared: DataFrame, length: int) -> DataFrame:
                     if len(seen) >= SEEN:
                         seen.clear()
                     seen[mark] = doc
-                rows.append((anchor, None if settled else piece, doc, hashes[t], a - offsets[t], a - offsets[t] + len(piece)))
+                start = a - int(offsets[t])
+                rows.append((anchor, mark, None if settled else piece, doc, int(hashes[t]), start, start + len(piece)))
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int64()))], ["anchor", "piece", "id", "hash", "start", "stop"])
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary() if i == 2 else pa.int64()) for i, x in enumerate(zip(*rows))], ["anchor", "mark", "piece", "id", "hash", "start", "stop"])
 
-    rows = cut(source.mapInArrow(emit, "anchor long, piece binary, id long, hash long, start long, stop long"))
+    rows = cut(source.mapInArrow(emit, "anchor long, mark long, piece binary, id long, hash long, start long, stop long"))
     settled = rows.where("piece IS NULL").select("id", "hash", "start", "stop")
-    open_rows = rows.where("piece IS NOT NULL").repartition("anchor").sortWithinPartitions("anchor", "piece", "id")
-
-    def sort_suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces: list[bytes] = []
-        owners: list[tuple[int, int, int]] = []
-        held = 0
-        done: list[tuple] = []
-        last_anchor = last_piece = last_doc = None
-
-        def flush() -> None:
-            nonlocal pieces, owners, held
-            if len(pieces) > 1:
-                docs = np.array([o[0] for o in owners], np.int64)
-                for i, a, b in settle(pieces, docs, length):
-                    doc, h, start = owners[i]
-                    done.append((doc, h, start + a, start + b))
-            pieces, owners, held = [], [], 0
+    open_rows = rows.where("piece IS NOT NULL").repartition("anchor").sortWithinPartitions("anchor", "mark", "id")
+    return settled.unionAll(open_rows.mapInArrow(sorter(length), "id long, hash long, start long, stop long"))
+
+
+def sorter(length: int):
+    """Rows sorted by (anchor, mark, id) to settled intervals.
+
+    A run of one mark is one string: its first document settles larger ones. Of an anchor with two or more different
+    pieces, one row per piece (and any more of the piece's first document) goes on to the suffix order.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        state = (None, None, 0)  # anchor, mark and first document of the run under way
+        held: list[tuple] = []  # rows of the anchor under way: piece, document, hash, start
+        different = 0
+        ready: list[tuple] = []
+        size = 0
+
+        def packed(columns: list) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["id", "hash", "start", "stop"])
+
+        def sort() -> list[tuple]:
+            found = settle([r[0] for r in ready], np.array([r[1] for r in ready], np.int64), length)
+            return [(ready[i][1], ready[i][2], ready[i][3] + a, ready[i][3] + b) for i, a, b in found]
+
+        def anchor_ends() -> None:
+            nonlocal held, different, ready, size
+            if different > 1:
+                ready += held
+                size += sum(len(r[0]) for r in held)
+            held, different = [], 0
 
         for batch in batches:
-            for anchor, piece, doc, h, start, stop in zip(*(c.to_pylist() for c in batch.columns)):
-                if anchor == last_anchor and piece == last_piece:
-                    if doc > last_doc:
-                        done.append((doc, h, start, stop))
-                    elif len(pieces):  # the same document again: settled with the piece's first row, if a smaller one holds it
-                        pieces.append(piece)
-                        owners.append((doc, h, start))
-                        held += len(piece)
-                    continue
-                if anchor != last_anchor and held >= SORT_BYTES:
-                    flush()
-                last_anchor, last_piece, last_doc = anchor, piece, doc
-                pieces.append(piece)
-                owners.append((doc, h, start))
-                held += len(piece)
-            if done:
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*done)], ["id", "hash", "start", "stop"])
-                done = []
-        flush()
-        if done:
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*done)], ["id", "hash", "start", "stop"])
-
-    return settled.unionAll(open_rows.mapInArrow(sort_suffixes, "id long, hash long, start long, stop long"))
+            if not batch.num_rows:
+                continue
+            anchor, mark, doc, h, start, stop = (batch.column(c).to_numpy() for c in ("anchor", "mark", "id", "hash", "start", "stop"))
+            goes_on = state[0] is not None and (anchor[0], mark[0]) == state[:2]
+            head = np.r_[not goes_on, (anchor[1:] != anchor[:-1]) | (mark[1:] != mark[:-1])]
+            at = np.maximum.accumulate(np.where(head, np.arange(len(head)), -1))
+            first = np.where(at >= 0, doc[np.maximum(at, 0)], state[2])
+            over = doc > first
+            if over.any():
+                yield packed([doc[over], h[over], start[over], stop[over]])
+            kept = np.flatnonzero(~over)
+            begins = np.flatnonzero(np.r_[anchor[0] != state[0], anchor[1:] != anchor[:-1]])
+            bounds = np.unique(np.r_[0, begins, len(anchor)])
+            heads = np.cumsum(np.r_[0, head])
+            several = heads[bounds[1:]] - heads[bounds[:-1]] > 1
+            for i, (a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist())):
+                if a in (0, bounds[-2]) or several[i]:
+                    if a or len(begins) and begins[0] == 0:
+                        anchor_ends()
+                    own = kept[np.searchsorted(kept, a) : np.searchsorted(kept, b)]
+                    pieces = batch.column("piece").take(pa.array(own)).to_pylist()
+                    held += zip(pieces, doc[own].tolist(), h[own].tolist(), start[own].tolist())
+                    different += int(heads[b] - heads[a])
+                    if size >= SORT_BYTES:
+                        out = sort()
+                        ready, size = [], 0
+                        if out:
+                            yield packed(list(zip(*out)))
+            state = (anchor[-1], mark[-1], int(first[-1]))
+        anchor_ends()
+        if ready:
+            out = sort()
+            if out:
+                yield packed(list(zip(*out)))
+
+    return run
 
 
 def deduplicated(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -296,7 +325,9 @@ def deduplicated(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id",
     runs = found.repartition("id", "hash").sortWithinPartitions("id", "hash", "start", "stop").mapInArrow(united, "id long, hash long, start long, stop long")
     spans = cut(runs.groupBy("id", "hash").agg(F.sort_array(F.collect_list(F.struct("start", "stop"))).alias("spans")))
     source = docs.select(F.col(id_col).alias("key"), F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("hash"), text.cast("binary").alias("data"))
-    joined = source.join(spans, ["id", "hash"], "left")
+    # Spans are a few numbers for each document that repeats something; beyond the bound the texts are joined by shuffle.
+    few = (spans.agg(F.sum(F.size("spans") + 2)).first()[0] or 0) <= BROADCAST_SPANS
+    joined = source.join(F.broadcast(spans) if few else spans, ["id", "hash"], "left")
     none = F.array().cast("array<struct<start:bigint,stop:bigint>>")
     joined = joined.withColumn("spans", F.coalesce("spans", none))
     ends = F.concat(F.array(F.lit(0).cast("bigint")), F.transform("spans", lambda x: x["stop"]))
