@@ -7,8 +7,8 @@ sequence of a file is padded (mask false, id 0). `X.docs.arrow` holds a row per
 number of ids. The file's footer gives each batch's place, so sequence i is batch i // B, row i % B of a memory map.
 A manifest table, written once, lists the files of the attempts that counted: a retried task's leftovers are ignored.
 
-Encoding. The tokenizer drops white space and never merges across it, so each word's ids come from one library call
-and are kept in a bounded memo; a text's ids are its words' ids in order.
+Encoding. The tokenizer drops white space and never merges across what its pattern cuts apart, so each part's ids come
+from one library call and are kept in a bounded memo; a text's ids are its parts' ids in order.
 
 Edge cases: a null or empty text yields the end id alone; null keys come first; repeated keys are ordered by text;
 an empty table gives an empty manifest and result; extra columns are not read. A long text is never split over files.
@@ -17,6 +17,7 @@ an empty table gives an empty manifest and result; extra columns are not read. A
 from __future__ import annotations
 
 import os
+import re
 import uuid
 from collections.abc import Iterator
 
@@ -28,9 +29,12 @@ from pyspark.sql import functions as F
 
 from .common import chunks, cut, file_system, shared_dir, spread, text_or_empty
 
-MEMO_LIMIT = 500_000
+MEMO_LIMIT = 600_000
 FILE_IDS = 16 << 20
 BATCH_SEQUENCES = 256
+# Letters, digits and white space of Latin-1.
+_LETTERS, _DIGITS, _BLANKS = "a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff", "0-9\xb2\xb3\xb9\xbc-\xbe", " \t-\r\x85\xa0"
+PIECE = re.compile(f"[{_LETTERS}]+|[{_DIGITS}]|[^{_LETTERS}{_DIGITS}{_BLANKS}]+")
 
 
 class WordEncoder(dict):
@@ -76,9 +80,23 @@ class WordEncoder(dict):
     def __missing__(self, word: str) -> bytes:
         return self.extra[word]
 
+    def words(self, text: str) -> list[str]:
+        """Parts whose ids, in order, are the text's ids.
+
+        A Latin-1 text without apostrophes or special tokens is lowered (which touches no other character) and cut as
+        the tokenizer's pattern cuts it: runs of letters, single digits, runs of anything else but white space. Any
+        other text is cut at blanks and line ends only, and the library handles what is inside a word.
+        """
+        if "'" not in text and "<|" not in text:
+            try:
+                text.encode("latin-1")
+                return PIECE.findall(text.lower())
+            except UnicodeEncodeError:
+                pass
+        return text.replace("\n", " ").split(" ")
+
     def encode(self, texts: list[str]) -> list[bytes]:
-        """Only blanks and line ends are cut at; any other white space stays inside a word for the library to handle."""
-        words = [t.replace("\n", " ").split(" ") for t in texts]
+        words = [self.words(t) for t in texts]
         self.learn(set().union(*words) - self.keys())
         return [b"".join(map(self.__getitem__, w)) for w in words]
 
