@@ -249,7 +249,10 @@ def tile_pairs(members: DataFrame, percent: int) -> DataFrame:
 def in_several(index: DataFrame, classes: DataFrame) -> DataFrame:
     """The members (token, rank, n, key, class) of runs that hold several classes, and more than one tried pair."""
     members = index.select("token", "rank", "n", "key").join(classes.withColumnRenamed("node", "key"), "key", "left").withColumn("class", F.coalesce("root", "key")).drop("root")
-    several = members.groupBy("token").agg((F.min("class") != F.max("class")).alias("several"), F.count("*").alias("size")).where("several AND size > 2").select("token")
+    mark = [F.bit_xor(F.xxhash64("key", F.lit(i))).alias(f"mark{i}") for i in (0, 1)]
+    several = members.groupBy("token").agg((F.min("class") != F.max("class")).alias("several"), F.count("*").alias("size"), *mark).where("several AND size > 2")
+    # Neighbouring shingles of a passage have the same members: one run stands for all of them.
+    several = several.groupBy("size", "mark0", "mark1").agg(F.min("token").alias("token")).select("token")
     return members.join(several, "token")
 
 
