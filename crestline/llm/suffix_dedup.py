@@ -260,6 +260,10 @@ def sorter(length: int):
                 size += sum(len(r[0]) for r in held)
             held, different = [], 0
 
+        def rows_at(batch: pa.RecordBatch, at: np.ndarray) -> list[tuple]:
+            taken = batch.select(["piece", "id", "hash", "start"]).take(pa.array(at))
+            return list(zip(*(c.to_pylist() for c in taken.columns)))
+
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -276,19 +280,23 @@ def sorter(length: int):
             bounds = np.unique(np.r_[0, begins, len(anchor)])
             heads = np.cumsum(np.r_[0, head])
             several = heads[bounds[1:]] - heads[bounds[:-1]] > 1
-            for i, (a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist())):
-                if a in (0, bounds[-2]) or several[i]:
-                    if a or len(begins) and begins[0] == 0:
-                        anchor_ends()
-                    own = kept[np.searchsorted(kept, a) : np.searchsorted(kept, b)]
-                    pieces = batch.column("piece").take(pa.array(own)).to_pylist()
-                    held += zip(pieces, doc[own].tolist(), h[own].tolist(), start[own].tolist())
-                    different += int(heads[b] - heads[a])
-                    if size >= SORT_BYTES:
-                        out = sort()
-                        ready, size = [], 0
-                        if out:
-                            yield packed(list(zip(*out)))
+            segment = np.repeat(np.arange(len(several)), np.diff(bounds))[kept]
+            edge = (segment == 0) | (segment == len(several) - 1)  # anchors that may go on in another batch
+            if len(begins) and begins[0] == 0:
+                anchor_ends()
+            for i in dict.fromkeys((0, len(several) - 1)):
+                if i:
+                    anchor_ends()
+                held += rows_at(batch, kept[segment == i])
+                different += int(heads[bounds[i + 1]] - heads[bounds[i]])
+            inner = rows_at(batch, kept[~edge & several[segment]])
+            ready += inner
+            size += sum(len(r[0]) for r in inner)
+            if size >= SORT_BYTES:
+                out = sort()
+                ready, size = [], 0
+                if out:
+                    yield packed(list(zip(*out)))
             state = (anchor[-1], mark[-1], int(first[-1]))
         anchor_ends()
         if ready:
