@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .common import chunks, cut, file_system, shared_dir, spread, text_or_empty
 
-MEMO_LIMIT = 250_000
+MEMO_LIMIT = 400_000
 FILE_IDS = 16 << 20
 BATCH_SEQUENCES = 256
 # Letters, digits and white space of Latin-1.
@@ -183,7 +183,7 @@ def write(docs: DataFrame, tokenizer_path: str, end_id: int, length: int = 2048,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, part, seq, writer = encoder_of(shared), TaskContext.get().partitionId(), 0, None
         done = []
-        for batch in chunks(batches, "text", 2 << 20):
+        for batch in chunks(batches, "text", 3 << 20):
             for key, ids in zip(batch.column("key").to_pylist(), encoder.encode(batch.column("text").to_pylist())):
                 if writer is None:
                     writer = FileWriter(f"{folder}/tokens-{part:06d}-{seq:04d}-{uuid.uuid4().hex}", length, dtype, batch.column("key").type)
