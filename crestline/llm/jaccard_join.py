@@ -39,6 +39,7 @@ HOT_LEAST = 16
 TILE = 2048
 ORDERS = 1
 CHUNK = 1 << 20
+BATCH_ROWS = 2000
 ID_BYTES = 32 << 20
 
 
@@ -306,6 +307,7 @@ def cross(percent: int):
 def join(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id_col, n_shingles, component_id (smallest id of the class) and n_links (links found at the text's set)."""
     spark = docs.sparkSession
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))  # batches of whole texts
     told = cut(describe(docs, id_col, text_col))
     own = told.where("kind = 0").drop("kind")
     common = told.where("kind = 1").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= HOT_LEAST).orderBy(F.desc("n"), "key").limit(HOT_LIST).collect()
