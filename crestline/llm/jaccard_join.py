@@ -189,32 +189,43 @@ def bounded(pairs: DataFrame, maps: DataFrame, percent: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").where(near).select("a", "b", "n1", "n2", "bits1", "bits2").mapInArrow(run, "a long, b long")
 
 
-def arrays_of(docs: DataFrame, ids: DataFrame, count: int, id_col: str, text_col: str) -> DataFrame:
-    """key and shingles (sorted 64-bit words as bytes) of the texts whose ids are listed.
+def arrays_of(docs: DataFrame, wanted: DataFrame, count: int, id_col: str, text_col: str) -> DataFrame:
+    """key and shingles (sorted 64-bit words as bytes) of texts, those of the sets wanted (key, id) among them.
 
-    The list goes to the workers as an array of whole numbers while it is at most ID_BYTES, else texts are joined.
+    The ids go to the workers as an array of whole numbers while it is at most ID_BYTES, else texts are joined. A set
+    that only rows without an id have is found among those rows by its key.
     """
     spark = docs.sparkSession
     source = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))
     whole = source.schema["id"].dataType.simpleString() in ("bigint", "int")
-    wanted = None
+    ids = wanted.where("id IS NOT NULL").select("id")
+    held = None
     if whole and 8 * count <= ID_BYTES:
-        wanted = spark.sparkContext.broadcast(np.sort(np.array([r.id for r in ids.collect()], np.int64)))
-        source = source.where("id IS NOT NULL")
+        held = spark.sparkContext.broadcast(np.sort(np.array([r.id for r in ids.collect()], np.int64)))
+        known = source.where("id IS NOT NULL")
     else:
-        source = source.join(ids, "id", "left_semi")
+        known = source.join(ids, "id", "left_semi")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if wanted is not None:
+            if held is not None:
                 own = batch.column("id").to_numpy()
-                at = np.minimum(np.searchsorted(wanted.value, own), max(0, len(wanted.value) - 1))
-                batch = batch.filter(pa.array(wanted.value[at] == own if len(wanted.value) else np.zeros(len(own), bool)))
+                at = np.minimum(np.searchsorted(held.value, own), max(0, len(held.value) - 1))
+                batch = batch.filter(pa.array(held.value[at] == own if len(held.value) else np.zeros(len(own), bool)))
+            yield batch
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
             for part in chunks(iter([batch]), "text", CHUNK):
                 own = list(sets(part.column("text")))
                 yield pa.RecordBatch.from_arrays([pa.array([key_of(s) for s in own], pa.int64()), pa.array([s.tobytes() for s in own], pa.binary())], ["key", "shingles"])
 
-    return source.mapInArrow(run, "key long, shingles binary")
+    shape = "key long, shingles binary"
+    out = known.mapInArrow(lambda batches: run(listed(batches)), shape)
+    nameless = wanted.where("id IS NULL").select("key")
+    if nameless.limit(1).count():
+        out = out.unionAll(source.where("id IS NULL").mapInArrow(run, shape).join(nameless, "key", "left_semi"))
+    return out
 
 
 def compared(pairs: DataFrame, arrays: DataFrame, percent: int) -> DataFrame:
@@ -355,8 +366,8 @@ def verified(docs: DataFrame, pairs: DataFrame, maps: DataFrame, percent: int, i
     """The links among pairs (a, b): bit counts first (unless done), then the arrays of the sets that are left."""
     pairs = cut(bounded(pairs, maps, percent)) if bounds else pairs
     keys = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
-    ids = cut(maps.join(keys, "key", "left_semi").select("id"))
-    arrays = cut(arrays_of(docs, ids, ids.count(), id_col, text_col).dropDuplicates(["key"]))
+    wanted = cut(maps.join(keys, "key", "left_semi").select("key", "id"))
+    arrays = cut(arrays_of(docs, wanted, wanted.count(), id_col, text_col).dropDuplicates(["key"]))
     return cut(compared(pairs, arrays, percent))
 
 

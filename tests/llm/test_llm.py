@@ -160,5 +160,17 @@ def test_jaccard(spark, docs, none):
     assert jaccard_join.join(none).count() == 0
 
 
+@pytest.mark.parametrize("limit", [jaccard_join.ID_BYTES, 0])
+def test_jaccard_null_ids(spark, monkeypatch, limit):
+    monkeypatch.setattr(jaccard_join, "ID_BYTES", limit)
+    words = [f"w{k}" for k in range(80)]
+    near = words + ["x1"]
+    rows = [(7, " ".join(words)), (None, " ".join(near)), (9, " ".join(near + [f"y{k}" for k in range(19)])), (None, "a text of its own without any copy")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    # 7 and 9 link only through the text that has no id.
+    got = sorted(((r.doc_id or 0), r.n_shingles, r.component_id) for r in jaccard_join.join(docs).collect())
+    assert got == [(0, 4, None), (0, 77, 7), (7, 76, 7), (9, 96, 7)]
+
+
 def test_registered():
     assert {n.split("_")[0] for n in queries.QUERIES} == {f"op{k}" for k in range(1, 11)}
