@@ -42,7 +42,22 @@ _PLACE = np.uint64((1 << 26) - 1)
 
 
 def windows(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
-    """Runs of windows with one anchor: (text, first window, last window, hash of the anchor)."""
+    """Runs of windows with one anchor: (text, first window, last window, hash of the anchor).
+
+    Places within _PLACE are packed with hashes, so longer data is taken in stretches that overlap by a window less a byte.
+    """
+    most = int(_PLACE) + 1
+    if len(data) <= most:
+        return stretch(data, offsets, length)
+    parts = []
+    for b in range(0, len(data) - length + 1, most - length + 1):
+        k, first, last, h = stretch(data[b : b + most], np.clip(offsets - b, 0, min(most, len(data) - b)), length)
+        parts.append((k, first + b, last + b, h))
+    return tuple(np.concatenate(x) for x in zip(*parts))
+
+
+def stretch(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
+    """The runs of windows of data whose places fit into _PLACE."""
     n, many = len(data), length - GRAM + 1
     if n < length:
         return tuple(np.empty(0, t) for t in (np.int64, np.int64, np.int64, np.uint64))

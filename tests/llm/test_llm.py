@@ -172,5 +172,27 @@ def test_jaccard_null_ids(spark, monkeypatch, limit):
     assert got == [(0, 4, None), (0, 77, 7), (7, 76, 7), (9, 96, 7)]
 
 
+def test_suffix_places(monkeypatch):
+    rng = np.random.default_rng(8)
+    passage = rng.integers(0, 256, 90).astype(np.uint8)
+    data = np.concatenate([rng.integers(0, 256, 1500).astype(np.uint8), passage, rng.integers(0, 256, 700).astype(np.uint8), passage])
+    offsets = np.array([0, 2290, 2380])
+
+    def named():
+        out = {}
+        for k, first, last, h in zip(*suffix_dedup.windows(data, offsets, 50)):
+            for p in range(first, last + 1):
+                assert (k, p) not in out
+                out[k, p] = h
+        return out
+
+    whole = named()
+    assert len(whole) == 2290 - 49 + 41
+    monkeypatch.setattr(suffix_dedup, "_PLACE", np.uint64(255))
+    got = named()
+    assert set(got) == set(whole)
+    assert [got[0, 1500 + p] for p in range(41)] == [got[1, 2290 + p] for p in range(41)]
+
+
 def test_registered():
     assert {n.split("_")[0] for n in queries.QUERIES} == {f"op{k}" for k in range(1, 11)}
