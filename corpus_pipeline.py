@@ -2,7 +2,8 @@
 
 Every stage but the last returns the columns of documents. Decisions take effect: rejected documents go, one document
 of each near-duplicate class stays, contaminated documents go, found secrets are masked in the text, and what is left
-is encoded to token ids. Rows without an id stay until a stage's decision, which is made by id, removes them.
+is encoded to token ids. Near duplicates and contamination are decided by row (id and text), so rows without an id and
+different texts that share one are judged by themselves.
 """
 
 from __future__ import annotations
@@ -14,6 +15,11 @@ from crestline.llm import bpe, jaccard_join, quality, secrets, tiling
 from crestline.llm.common import cut
 
 
+def row_hash():
+    """What a row is known by: a 64-bit hash of its id and text."""
+    return F.xxhash64(F.col("doc_id").isNull(), "doc_id", "text")
+
+
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier predicts to be of label 1."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
@@ -23,16 +29,22 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def jaccard_classes(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest id of each class of linked shingle sets; texts without words have classes of their own."""
-    kept = jaccard_join.join(docs).where("component_id = doc_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+    """The row of the smallest id of each class of linked shingle sets (null ids last); texts without words have classes of their own."""
+    worded = F.coalesce("text", F.lit("")).rlike("[^ \\t-\\r]")
+    rows = docs.where(worded).withColumn("_row", row_hash())
+    classes = cut(jaccard_join.join(rows, id_col="_row").select("_row", "component_id").distinct())
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "_row")
+    kept = rows.select("doc_id", "_row").join(classes, "_row").groupBy("component_id").agg(F.min(order).alias("least")).select("least._row")
+    one = rows.join(kept, "_row", "left_semi").dropDuplicates(["_row"])
+    return one.select(*docs.columns).unionAll(docs.where(~worded))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose tiles cover no benchmark item up to the threshold."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    found = cut(tiling.contaminated(docs, benchmark).select("doc_id").distinct())
-    return docs.join(found, "doc_id", "left_anti").select(*docs.columns)
+    rows = docs.withColumn("_row", row_hash())
+    found = cut(tiling.contaminated(rows, benchmark, id_col="_row").select("_row").distinct())
+    return rows.join(found, "_row", "left_anti").select(*docs.columns)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

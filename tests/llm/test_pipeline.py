@@ -37,3 +37,19 @@ def test_pipeline(spark, tmp_path):
     own = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
     texts = {i: (t or "").replace('token = "abcdef0123456789', "[SECRET]") for i, t in rows}
     assert all(r.ids == own.encode_ordinary(texts[i]) and r.exact for i, r in got.items())
+
+
+def test_classes_by_row(spark):
+    words = [f"w{k}" for k in range(40)]
+    texts = {"a": " ".join(words), "b": "another text that shares the id of the first and nothing else at all", "c": "a single text without any id stays", "d": "two rows without an id hold this one text"}
+    rows = [(5, texts["a"]), (2, texts["a"] + " near"), (2, texts["b"]), (None, texts["a"]), (None, texts["c"]), (None, texts["d"]), (None, texts["d"]), (None, ""), (7, None), (7, "\u00a0")]
+    docs = spark.createDataFrame([(i, t, "en") for i, t in rows], "doc_id long, text string, lang string")
+    got = sorted(((r.doc_id or 0), r.text or "") for r in corpus_pipeline.jaccard_classes(spark, docs, "").collect())
+    assert got == sorted([(2, texts["a"] + " near"), (2, texts["b"]), (0, texts["c"]), (0, texts["d"]), (0, ""), (7, ""), (7, "\u00a0")])
+
+
+def test_decontamination_by_row(spark, tmp_path):
+    spark.createDataFrame([(1, ITEM)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    docs = spark.createDataFrame([(None, "so " + ITEM), (3, "so " + ITEM), (3, "a clean text"), (None, "another clean text")], "doc_id long, text string")
+    got = sorted(r.text for r in corpus_pipeline.decontamination(spark, docs, f"file://{tmp_path}").collect())
+    assert got == ["a clean text", "another clean text"]
