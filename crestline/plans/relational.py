@@ -98,6 +98,18 @@ STEPS = {
     "k5_differences": f"{TRUTH}, {GUESS} SELECT CAST(b.rnk AS BIGINT) AS place, b.item_id AS exact_item, a.item_id AS found_item FROM best b JOIN appr a ON a.rnk = b.rnk WHERE a.item_id <> b.item_id OR a.score <> b.score",
 }
 
+# The steps above that read one or two nodes, over every node (set operations: each node's cells against the next node's).
+NEXT = f"(node_id + {N - 1}) % {N}"
+STEPS |= {
+    "t1_total_order_all": "SELECT node_id, item_id, score, CAST(row_number() OVER (ORDER BY score DESC, item_id DESC, node_id DESC) AS BIGINT) AS place FROM x",
+    "w3_differences_all": f"SELECT node_id, cell, CAST(cell - coalesce(lag(cell) OVER (PARTITION BY node_id ORDER BY cell), 0) AS BIGINT) AS delta FROM (SELECT DISTINCT node_id, {C} AS cell FROM x) t",
+    "x10_log_scale_all": "SELECT node_id, item_id, score, CAST(ceil(ln(score) * 16) + 1 AS BIGINT) AS scaled FROM x",
+    "x11_bounds_all": "SELECT node_id, item_id, greatest(score, 5000000) AS least_five, least(score, 5000000) AS most_five FROM x",
+    "o2_cell_union_all": f"SELECT node_id, {C} AS cell FROM x UNION SELECT {NEXT} AS node_id, {C} AS cell FROM x",
+    "o3_cell_difference_all": f"SELECT node_id, {C} AS cell FROM x EXCEPT SELECT {NEXT} AS node_id, {C} AS cell FROM x",
+    "o5_cells_by_modulus_all": f"SELECT DISTINCT node_id, bits, hv FROM (SELECT node_id, 6 AS bits, {C} % 64 AS hv FROM x UNION ALL SELECT node_id, 10 AS bits, {C} AS hv FROM x) t",
+}
+
 
 def text(name: str, source: str = "L1") -> str:
     """The whole SQL of a step: a CTE for the lists, then the step's own."""

@@ -43,6 +43,18 @@ def test_steps(spark, name):
     assert sorted(map(str, map(tuple, df.collect()))) == sorted(map(str, db.sql(sql).fetchall()))
 
 
+@pytest.mark.parametrize("name", ["t1_total_order", "w3_differences", "x10_log_scale", "x11_bounds", "o2_cell_union", "o3_cell_difference", "o5_cells_by_modulus"])
+def test_whole_steps(spark, name):
+    sql = relational.text(f"{name}_all")
+    got = list(map(tuple, relational.run(spark, SF, sql).collect()))
+    db = duckdb.connect()
+    db.sql(f"CREATE VIEW lineitem AS SELECT * FROM '{SF}/lineitem.parquet'")
+    assert sorted(map(str, got)) == sorted(map(str, db.sql(sql).fetchall()))
+    assert {r[0] for r in got} == set(range(10))
+    if name[0] in "tx":
+        assert len(got) == db.sql(f"SELECT count(*) FROM ({lists.SQL['L1']})").fetchall()[0][0]
+
+
 def test_rounds_send_nothing_twice(skewed):
     r = PROTOCOLS["p4_tput"][1](skewed, 10)
     from crestline.operators.protocols import sent
