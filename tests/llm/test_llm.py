@@ -99,6 +99,27 @@ def test_wrappers(spark):
     assert wrappers.extract(pages.limit(0)).count() == 0
 
 
+def test_wrapper_slots(spark):
+    """A notice that every page of a host repeats inside its article goes, though its path is that of main text."""
+
+    def page(k, many, tail=""):
+        return "<html><body><article><h1>Title %d</h1><div><p>Read our terms first.</p></div>%s%s</article></body></html>" % (k, "".join(f"<p>Part {i} of {k}</p>" for i in range(many)), tail)
+
+    rows = [(k, f"http://h/{k}", page(k, k, "<div><p>Tail %d</p></div>" % k if k % 2 else "")) for k in range(1, 6)]
+    rows += [(10 + k, "http://copies/1", "<article><p>Same text</p></article>") for k in range(4)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in wrappers.extract(pages).collect()}
+    for k in range(1, 6):
+        assert got[k] == "\n".join([f"Title {k}", *(f"Part {i} of {k}" for i in range(k)), *([f"Tail {k}"] if k % 2 else [])])
+    assert all(got[10 + k] == "Same text" for k in range(4))
+
+
+def test_wrapper_fold():
+    row = [(f"t{k}",) for k in range(20)] + [("#",)]
+    nodes, addresses = wrappers.fold(row * 3)
+    assert nodes == [("+", tuple(row))] and addresses == [(0, 20)] * 3
+
+
 def test_search(spark):
     rng = np.random.default_rng(5)
     rows = [(i, [float(x) for x in rng.normal(size=8)], 0) for i in range(120)] + [(200, None, 0), (201, [1.0, None] * 4, 0), (202, [float("nan")] * 8, 0), (203, [], 0)]
