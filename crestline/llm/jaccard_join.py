@@ -13,6 +13,9 @@
    arrays. Sets already in one class are not compared, so a group of copies never becomes all of its pairs.
 5. Classes over all links are spread to the documents.
 
+With links=True, step 4 compares all sets that share a token, those of one class too, so that every link is found and
+counted; pairs then grow with the square of a group of different near copies, as the links themselves do.
+
 Nothing is capped or sampled: every pair that reaches the threshold is linked directly or through its class.
 
 Edge cases: null and empty texts, and texts of white space, have no shingles and a class of their own; repeated rows
@@ -40,6 +43,7 @@ TILE = 2048
 ORDERS = 1
 CHUNK = 1 << 20
 BATCH_ROWS = 2000
+PAIRS = 1 << 17
 ID_BYTES = 32 << 20
 
 
@@ -308,15 +312,21 @@ def cross(percent: int):
                 if len(x):
                     keep = possible(n[x], n[y], [bits[i] for i in x], [bits[i] for i in y], percent)
                     found.update(zip(np.minimum(key[x], key[y])[keep].tolist(), np.maximum(key[x], key[y])[keep].tolist()))
+                if len(found) >= PAIRS:
+                    yield packed(found)
+                    found = set()
             if found:
-                a, b = zip(*found)
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+                yield packed(found)
+
+    def packed(found: set[tuple[int, int]]) -> pa.RecordBatch:
+        a, b = zip(*found)
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
     return run
 
 
-def join(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id_col, n_shingles, component_id (smallest id of the class) and n_links (links found at the text's set)."""
+def join(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", links: bool = False) -> DataFrame:
+    """id_col, n_shingles, component_id (smallest id of the class) and, if asked for, n_links (other rows that reach the threshold)."""
     spark = docs.sparkSession
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))  # batches of whole texts
     told = cut(describe(docs, id_col, text_col))
@@ -333,33 +343,38 @@ def join(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: s
     chain = F.greatest("key", "before").alias("b"), F.least("key", "before").alias("a")
     first = index.where("rank > 0")
     tried = cut(first.select(*near).unionAll(first.select(*chain)).where("a <> b").distinct())
-    links = verified(docs, tried, maps, percent, id_col, text_col)
-    classes = cut(components.label(links))
+    found = verified(docs, tried, maps, percent, id_col, text_col)
+    classes = cut(components.label(found))
 
     # Further pairs along the runs in other orders, so that classes close up before any run is compared in full.
-    for turn in range(ORDERS):
+    for turn in range(0 if links else ORDERS):
         members = in_several(index, classes)
         last = F.lag(F.struct("key", "class")).over(Window.partitionBy("token").orderBy(F.xxhash64("key", F.lit(turn)), "key"))
         met = members.withColumn("last", last).where("last.class <> class")
         more = cut(met.select(F.greatest("key", "last.key").alias("b"), F.least("key", "last.key").alias("a")).distinct().join(tried, ["a", "b"], "left_anti"))
-        links = cut(links.unionAll(verified(docs, more, maps, percent, id_col, text_col)))
+        found = cut(found.unionAll(verified(docs, more, maps, percent, id_col, text_col)))
         tried = cut(tried.select("a", "b").unionAll(more.select("a", "b")))
-        classes = cut(components.label(links))
+        classes = cut(components.label(found))
 
-    members = in_several(index, classes).withColumn("tile", F.floor(F.col("rank") / TILE).cast("long"))
+    members = in_several(index, classes.limit(0) if links else classes).withColumn("tile", F.floor(F.col("rank") / TILE).cast("long"))
     dealt = tile_pairs(cut(members), percent).join(maps.select("key", "bits"), "key")
     more = dealt.repartition("token", "t1", "t2").sortWithinPartitions("token", "t1", "t2", "n", "key").select("token", "t1", "t2", "second", "n", "key", "class", "bits").mapInArrow(cross(percent), "a long, b long").distinct()
     more = cut(more.join(tried, ["a", "b"], "left_anti"))
-    links = links.unionAll(verified(docs, more, maps, percent, id_col, text_col, bounds=False))
+    found = found.unionAll(verified(docs, more, maps, percent, id_col, text_col, bounds=False))
 
-    classes = cut(components.label(links))
-    counts = links.select(F.explode(F.array("a", "b")).alias("key")).groupBy("key").agg(F.count("*").alias("n_links"))
+    classes = cut(components.label(found))
     roots = maps.select("key", "id").join(classes.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
     least = roots.groupBy("root").agg(F.min("id").alias("component_id"))
-    named = roots.join(least, "root").join(counts, "key", "left").select("key", "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    named = roots.join(least, "root").select("key", "component_id")
+    if links:
+        copies = own.where("n > 0").groupBy("key").agg(F.count("*").alias("copies"))
+        ends = found.select(F.col("a").alias("key"), F.col("b").alias("other")).unionAll(found.select(F.col("b").alias("key"), F.col("a").alias("other")))
+        counts = ends.join(copies.withColumnsRenamed({"key": "other", "copies": "linked"}), "other").groupBy("key").agg(F.sum("linked").alias("linked"))
+        named = named.join(copies, "key").join(counts, "key", "left").select("key", "component_id", (F.coalesce("linked", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     empty = F.col("n") == 0
     out = own.select("id", "n", F.when(~empty, F.col("key")).alias("key")).join(named, "key", "left")
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(empty, F.col("id")).otherwise(F.col("component_id")).alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    count = [F.coalesce("n_links", F.lit(0)).alias("n_links")] if links else []
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(empty, F.col("id")).otherwise(F.col("component_id")).alias("component_id"), *count)
 
 
 def verified(docs: DataFrame, pairs: DataFrame, maps: DataFrame, percent: int, id_col: str, text_col: str, bounds: bool = True) -> DataFrame:
@@ -372,7 +387,12 @@ def verified(docs: DataFrame, pairs: DataFrame, maps: DataFrame, percent: int, i
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    return join(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("n_links")
+    return join(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+def links_query(spark, sf_dir: str) -> DataFrame:
+    """The same rows with the number of links, which op9_jaccard_join's SQL does not have."""
+    return join(spark.read.parquet(f"{sf_dir}/documents.parquet"), links=True)
 
 
 SQL = r"""
@@ -387,3 +407,4 @@ e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
 r AS (SELECT doc_id AS a, doc_id AS c FROM n UNION SELECT e.b, r.c FROM r JOIN e ON e.a = r.a WHERE r.c <= e.b)
 SELECT doc_id, n::BIGINT AS n_shingles, c AS component_id FROM n JOIN (SELECT a, min(c) AS c FROM r GROUP BY a) ON a = doc_id
 """
+LINKS_SQL = SQL.replace("SELECT doc_id, n::BIGINT AS n_shingles, c AS component_id FROM n", "SELECT doc_id, n::BIGINT AS n_shingles, c AS component_id, (SELECT count(*) FROM e WHERE e.a = doc_id) AS n_links FROM n")

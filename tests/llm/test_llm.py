@@ -215,5 +215,16 @@ def test_suffix_places(monkeypatch):
     assert [got[0, 1500 + p] for p in range(41)] == [got[1, 2290 + p] for p in range(41)]
 
 
+def test_jaccard_links(spark):
+    """A group of near copies that all link, exact copies among them: every row has a link to each of the others."""
+    words = [f"w{k}" for k in range(120)]
+    rows = [(k, " ".join(words[:k] + [f"new{k}"] + words[k + 1 :])) for k in range(20)] + [(50, " ".join(words)), (51, " ".join(words)), (60, "alone with five words here"), (61, "")]
+    sets = {i: {tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)} for i, t in rows}
+    want = {i: sum(i != j and bool(x) and 100 * len(x & y) >= 80 * len(x | y) for j, y in sets.items()) for i, x in sets.items()}
+    assert max(want.values()) == 21
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: r.n_links for r in jaccard_join.join(docs, links=True).collect()} == want
+
+
 def test_registered():
     assert {n.split("_")[0] for n in queries.QUERIES} == {f"op{k}" for k in range(1, 11)}
