@@ -31,6 +31,7 @@ CANDIDATE = r"[A-Za-z0-9_+=-]{20,}"
 BASE = tuple(PATTERNS)
 KINDS = (*BASE, "known", "owned")
 DISTINCT_CHARACTERS = 10
+VERDICTS = ("copied", "owned", "shared")
 
 
 def matches(text: Column, pattern: str, group: int) -> Column:
@@ -45,12 +46,13 @@ def matches(text: Column, pattern: str, group: int) -> Column:
     return F.when(text.rlike(pattern), found)
 
 
-def scan(docs: DataFrame, id_col: str, text_col: str, owner_col: str, repo_cols: tuple[str, ...]) -> DataFrame:
-    """One written row per document: row, key, owner, repo and an array of matches per kind (null if none)."""
+def scan(docs: DataFrame, id_col: str, text_col: str, owner_col: str, repo_cols: tuple[str, ...], carry: bool = False) -> DataFrame:
+    """One written row per document: row, key, owner, repo, an array of matches per kind (null if none) and, to carry on, the document itself as `doc`."""
     text = text_or_empty(text_col)
     named = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     found = [matches(text, p, g).alias(k) for k, (p, g, _) in PATTERNS.items()]
-    return cut(docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("key"), F.xxhash64(text).alias("text_hash"), named(owner_col).alias("owner"), F.to_json(F.array(*(named(c) for c in repo_cols))).alias("repo"), *found, matches(text, CANDIDATE, 0).alias("candidate")))
+    whole = [F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc")] if carry else []
+    return cut(docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("key"), F.xxhash64(text).alias("text_hash"), named(owner_col).alias("owner"), F.to_json(F.array(*(named(c) for c in repo_cols))).alias("repo"), *found, matches(text, CANDIDATE, 0).alias("candidate"), *whole))
 
 
 def placed(scanned: DataFrame) -> DataFrame:
@@ -78,23 +80,27 @@ def ownership(found: DataFrame) -> DataFrame:
 
 
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_cols: tuple[str, ...] = ("source", "lang"), copied: int = 3) -> tuple[DataFrame, DataFrame]:
-    """(rows, findings). rows: row, key and text_hash of every document. findings: row, kind, start, end, hash, owners, repos and
+    """(rows, findings). rows: row, id and text_hash of every document. findings: row, kind, start, end, hash, owners, repos and
     verdict: 'copied' (at least `copied` owners), 'owned' (one) or 'shared'."""
     scanned = scan(docs, id_col, text_col, owner_col, repo_cols)
+    return scanned.select("row", F.col("key").alias(id_col), "text_hash"), judged(scanned, copied)
+
+
+def judged(scanned: DataFrame, copied: int) -> DataFrame:
+    """The findings of scanned rows, as find() gives them."""
     found = cut(placed(scanned))
     counts = ownership(found)
     verdict = F.when(F.col("owners") >= copied, "copied").when(F.col("owners") == 1, "owned").otherwise("shared")
-    judged = found.join(counts, "hash").withColumn("verdict", verdict)
+    every = found.join(counts, "hash").withColumn("verdict", verdict)
     known = (F.col("kind") == "candidate") & F.col("base")
     owned = (F.col("kind") == "candidate") & ~F.col("base") & (F.col("owners") == 1)
-    judged = judged.withColumn("kind", F.when(known, "known").when(owned, "owned").otherwise(F.col("kind"))).where("kind <> 'candidate'")
+    every = every.withColumn("kind", F.when(known, "known").when(owned, "owned").otherwise(F.col("kind"))).where("kind <> 'candidate'")
     # A candidate counts only clear of base spans: of those that start before its end, the furthest end is checked.
     order = Window.partitionBy("row").orderBy("at", "last").rowsBetween(Window.unboundedPreceding, 0)
     is_base = F.col("kind").isin(*BASE)
-    ends = judged.withColumn("at", F.when(is_base, F.col("start")).otherwise(F.col("end") - 1)).withColumn("last", (~is_base).cast("int"))
+    ends = every.withColumn("at", F.when(is_base, F.col("start")).otherwise(F.col("end") - 1)).withColumn("last", (~is_base).cast("int"))
     clear = ends.withColumn("reach", F.max(F.when(is_base, F.col("end"))).over(order))
-    findings = clear.where(is_base | F.col("reach").isNull() | (F.col("reach") <= F.col("start"))).select("row", "kind", "start", "end", "hash", "owners", "repos", "verdict")
-    return scanned.select("row", F.col("key").alias(id_col), "text_hash"), findings
+    return clear.where(is_base | F.col("reach").isNull() | (F.col("reach") <= F.col("start"))).select("row", "kind", "start", "end", "hash", "owners", "repos", "verdict")
 
 
 def listing(keep: Column | None = None) -> Column:
@@ -121,12 +127,15 @@ def query(spark, sf_dir: str) -> DataFrame:
     return digests(*find(spark.read.parquet(f"{sf_dir}/documents.parquet")))
 
 
-def masked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_cols: tuple[str, ...] = ("source", "lang"), mask: str = "[SECRET]", length_col: str = "n_chars") -> DataFrame:
-    """The documents with every found span replaced (overlapping spans by one mask); length_col, if present, is set anew.
+def masked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_cols: tuple[str, ...] = ("source", "lang"), mask: str = "[SECRET]", length_col: str = "n_chars", verdicts: tuple[str, ...] = VERDICTS, copied: int = 3) -> DataFrame:
+    """The documents with every found span of these verdicts replaced (overlapping spans by one mask); length_col, if present, is set anew.
 
-    Spans are joined by id and hash of the text, so rows that share an id are masked by the spans of their own text.
+    The scan writes the documents along with their matches, so a text without a match goes straight to the result, and
+    only rows with one meet their spans by shuffle.
     """
-    rows, findings = find(docs, id_col, text_col, owner_col, repo_cols)
+    scanned = scan(docs, id_col, text_col, owner_col, repo_cols, carry=True)
+    hit = F.coalesce(*(F.col(k) for k in PATTERNS), F.col("candidate")).isNotNull()
+    findings = judged(scanned, copied).where(F.col("verdict").isin(*verdicts))
     spans = findings.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("spans"))
     # Spans that touch become one: a span starts a new one if it begins at or after the furthest end so far.
     whole = F.aggregate(
@@ -137,17 +146,21 @@ def masked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owne
             F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(F.struct(F.try_element_at(acc, F.lit(-1))["start"].alias("start"), F.greatest(F.try_element_at(acc, F.lit(-1))["end"], x["end"]).alias("end")))),
         ).otherwise(F.concat(acc, F.array(F.struct(x["start"].alias("start"), x["end"].alias("end"))))),
     )
-    listed = rows.join(spans, "row").groupBy(F.col(id_col).alias("masked_id"), "text_hash").agg(F.first("spans").alias("spans"))
-    listed = listed.select("masked_id", F.col("text_hash").alias("masked_hash"), whole.alias("masked_spans"))
-    text = F.col(text_col)
-    ends = F.concat(F.array(F.lit(0).cast("bigint")), F.transform("masked_spans", lambda x: x["end"]))
-    starts = F.concat(F.transform("masked_spans", lambda x: x["start"]), F.array(F.length(text).cast("bigint")))
+    text = F.col(f"doc.`{text_col}`")
+    ends = F.concat(F.array(F.lit(0).cast("bigint")), F.transform("merged", lambda x: x["end"]))
+    starts = F.concat(F.transform("merged", lambda x: x["start"]), F.array(F.length(text).cast("bigint")))
     pieces = F.zip_with(ends, starts, lambda a, b: F.substring(text, (a + 1).cast("int"), F.greatest(b - a, F.lit(0)).cast("int")))
-    out = docs.join(listed, docs[id_col].eqNullSafe(F.col("masked_id")) & (F.xxhash64(text_or_empty(text_col)) == F.col("masked_hash")), "left")
-    out = out.withColumn(text_col, F.when(F.col("masked_spans").isNotNull(), F.array_join(pieces, mask)).otherwise(text))
-    if length_col in docs.columns:
-        out = out.withColumn(length_col, F.when(F.col("masked_spans").isNotNull(), F.length(text_col).cast(docs.schema[length_col].dataType)).otherwise(F.col(length_col)))
-    return out.select(*docs.columns)
+    found = scanned.where(hit).select("row", "doc").join(spans, "row", "left").withColumn("merged", whole)
+    found = found.withColumn("clean", F.when(F.col("merged").isNotNull(), F.array_join(pieces, mask)).otherwise(text))
+    columns = []
+    for c in docs.columns:
+        own = F.col(f"doc.`{c}`")
+        if c == text_col:
+            own = F.col("clean")
+        elif c == length_col:
+            own = F.when(F.col("merged").isNotNull(), F.length("clean").cast(docs.schema[c].dataType)).otherwise(own)
+        columns.append(own.alias(c))
+    return scanned.where(~hit).select("doc.*").unionAll(found.select(*columns))
 
 
 def _sql() -> str:
