@@ -26,13 +26,17 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/crestline/{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame, codec: str = "zstd") -> DataFrame:
-    """Write df as a table in the shared folder and read it again: later work never recomputes it, whichever executors are lost."""
+def cut(df: DataFrame, codec: str = "zstd", tidy: bool = True) -> DataFrame:
+    """Write df as a table in the shared folder and read it again: later work never recomputes it, whichever executors are lost.
+
+    tidy lets Spark's cleaner drop the shuffle files of what is written now, which costs a collection on the driver.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/cut"
     df.write.option("compression", codec).parquet(path)
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()  # lets the cleaner drop shuffle files that nothing refers to any more
+    if tidy:
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 

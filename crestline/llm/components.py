@@ -8,6 +8,11 @@ from pyspark.sql import functions as F
 from .common import cut
 
 
+def told(edges: DataFrame) -> tuple:
+    """Number of the edges and two 64-bit sums over their hashes, which tell whether a step changed any."""
+    return tuple(edges.agg(F.count("*"), *(F.bit_xor(F.xxhash64("u", "v", F.lit(i))) for i in (0, 1))).first())
+
+
 def label(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """node, root: for every node of a link, the smallest node reachable. Links may repeat and may be loops.
 
@@ -16,16 +21,16 @@ def label(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     aggregated row joined with a run that can be split.
     """
     edges = cut(links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct())
-    while True:
+    state = told(edges)
+    while state[0]:
         both = edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         joined = large.join(least, "u")
         small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
-        after = cut(small)
-        changed = after.join(edges, ["u", "v"], "left_anti").limit(1).count() + edges.join(after, ["u", "v"], "left_anti").limit(1).count()
-        edges = after
-        if not changed:
+        edges, last = cut(small, tidy=False), state
+        state = told(edges)
+        if state == last:
             break
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionAll(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

@@ -14,13 +14,11 @@ QUERIES = {
     "op7_kernel_quality": quality.query,
     "op8_string_tiling": tiling.query,
     "op9_jaccard_join": jaccard_join.query,
-    "op9_jaccard_join_links": jaccard_join.links_query,
     "op10_byte_bpe": bpe.query,
 }
 
 SQL = {
     "op9_jaccard_join": jaccard_join.SQL,
-    "op9_jaccard_join_links": jaccard_join.LINKS_SQL,
     "op3_secret_ownership": secrets.SQL,
     "op6_segment_top_k": segment_search.SQL,
     "op1_arc_to_warc": arc.SQL,
