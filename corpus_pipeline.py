@@ -29,14 +29,23 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def jaccard_classes(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The row of the smallest id of each class of linked shingle sets (null ids last); texts without words have classes of their own."""
+    """The row of the smallest id of each class of linked shingle sets (null ids last); texts without words have classes of their own.
+
+    Rows go by a list of those that give way, which holds members of larger classes only, so a text that is alone in its
+    class meets nothing but that list. Repeated rows (of one id and text) are told apart by nothing: one of them stays.
+    """
     worded = F.coalesce("text", F.lit("")).rlike("[^ \\t-\\r]")
     rows = docs.where(worded).withColumn("_row", row_hash())
-    classes = cut(jaccard_join.join(rows, id_col="_row").select("_row", "component_id").distinct())
+    classes = cut(jaccard_join.join(rows, id_col="_row").groupBy("_row", "component_id").agg(F.count("*").alias("copies")))
+    larger = classes.groupBy("component_id").agg(F.sum("copies").alias("size")).where("size > 1").select("component_id")
+    members = cut(classes.join(larger, "component_id"))
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "_row")
-    kept = rows.select("doc_id", "_row").join(classes, "_row").groupBy("component_id").agg(F.min(order).alias("least")).select("least._row")
-    one = rows.join(kept, "_row", "left_semi").dropDuplicates(["_row"])
-    return one.select(*docs.columns).unionAll(docs.where(~worded))
+    least = rows.select("doc_id", "_row").join(members, "_row").groupBy("component_id").agg(F.min(order).alias("least")).select(F.col("least._row").alias("_row"))
+    least = cut(members.select("_row", "copies").join(least, "_row", "left_semi"))
+    repeated = least.where("copies > 1").select("_row")
+    gone = members.select("_row").join(least.where("copies = 1"), "_row", "left_anti")
+    one = rows.join(repeated, "_row", "left_semi").dropDuplicates(["_row"])
+    return rows.join(cut(gone), "_row", "left_anti").unionAll(one).select(*docs.columns).unionAll(docs.where(~worded))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
