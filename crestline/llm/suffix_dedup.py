@@ -6,7 +6,7 @@ What is asked: the bytes covered by a string of LENGTH bytes that also starts in
    equals). Equal windows name equal grams, so only windows whose gram occurs in two documents can repeat.
 2. Pieces. Neighbouring windows with one anchor form a piece; pieces of shared anchors are dealt out by anchor, so all
    windows that could be equal meet in one task, and nothing else has to. A piece that a task has already seen in a
-   smaller document is settled at once, so a text copied everywhere is dealt out a few times for each task.
+   smaller document goes without its bytes, so a text copied everywhere is dealt out a few times for each task.
 3. Suffix order. Equal pieces of an anchor sort next to each other; the smallest document settles the others. The
    suffixes of the different pieces are sorted with a difference cover modulo 3: the triples at sample positions are
    sorted and named, the names are sorted by recursion, the remaining suffixes are sorted by their first character and
@@ -85,14 +85,14 @@ def stretch(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndar
 
 
 def order_of(columns: list[np.ndarray]) -> np.ndarray:
-    """Stable order by several columns of whole numbers >= 0; they are packed into one key where 63 bits hold it."""
+    """An order by several columns of whole numbers >= 0; they are packed into one key where 63 bits hold it."""
     bits = [int(c.max()).bit_length() if len(c) else 0 for c in columns]
     if sum(bits) > 63:
         return np.lexsort(columns[::-1])
     key = columns[0].astype(np.int64)
     for c, b in zip(columns[1:], bits[1:]):
         key = key << b | c
-    return np.argsort(key, kind="stable")
+    return np.argsort(key)
 
 
 def ranks_of(columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -199,28 +199,40 @@ def repeated(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text
 
     found = source.select("id", "text").mapInArrow(anchors, "anchor long, id long")
     shared = cut(found.groupBy("anchor").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("anchor"))
-    slices = max(1, -(-shared.count() // SLICE))
-    out = None
-    for i in range(slices):
-        own = shared.where(F.pmod(F.xxhash64("anchor"), F.lit(slices)) == i)
-        part = pieces_of(source, own, length)
-        out = part if out is None else out.unionAll(part)
-    return out
+    if shared.count() <= SLICE:
+        parts = [np.frombuffer(r.a, np.int64) for r in shared.mapInArrow(packed_anchors, "a binary").toLocalIterator()]
+        wanted = spark.sparkContext.broadcast(np.sort(np.concatenate(parts).view(np.uint64)) if parts else np.empty(0, np.uint64))
+        rows = source.mapInArrow(pieces(length, wanted), PIECES)
+    else:
+        # Each text is sent along with its own shared anchors, however many the corpus has.
+        own = found.join(shared, "anchor").distinct().groupBy("id").agg(F.collect_list("anchor").alias("anchors"))
+        rows = source.join(own, "id").mapInArrow(pieces(length, None), PIECES)
+    return rows.repartition("anchor").sortWithinPartitions("anchor", "mark", "id").mapInArrow(sorter(length), "id long, hash long, start long, stop long")
+
+
+def packed_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([pa.array([batch.column(0).to_numpy().tobytes()], pa.binary())], ["a"])
+
 
+PIECES = "anchor long, mark long, piece binary, id long, hash long, start long, stop long"
 
-def pieces_of(source: DataFrame, shared: DataFrame, length: int) -> DataFrame:
-    """Intervals found through one slice of the shared anchors (about SLICE of them, so that they can be broadcast)."""
-    spark = source.sparkSession
-    parts = [np.frombuffer(r.a, np.int64) for r in shared.mapInArrow(lambda it: (pa.RecordBatch.from_arrays([pa.array([b.column(0).to_numpy().tobytes()], pa.binary())], ["a"]) for b in it), "a binary").toLocalIterator()]
-    wanted = spark.sparkContext.broadcast(np.sort(np.concatenate(parts).view(np.uint64)) if parts else np.empty(0, np.uint64))
 
-    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[bytes, int] = {}
-        anchors = wanted.value
+def pieces(length: int, wanted):
+    """Texts to the pieces of their shared anchors; a piece that the task has seen in a smaller document goes without its bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[int, int] = {}
         for batch in chunks(batches, "text", 1 << 20):
             data, offsets = buffers(batch.column("text"))
             k, first, last, h = windows(data, offsets, length)
-            if not len(h) or not len(anchors):
+            if not len(h):
+                continue
+            if wanted is not None:
+                anchors = wanted.value
+            else:
+                anchors = np.unique(batch.column("anchors").flatten().to_numpy().view(np.uint64))
+            if not len(anchors):
                 continue
             at = np.minimum(np.searchsorted(anchors, h), len(anchors) - 1)
             keep = np.flatnonzero(anchors[at] == h)
@@ -241,16 +253,13 @@ def pieces_of(source: DataFrame, shared: DataFrame, length: int) -> DataFrame:
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary() if i == 2 else pa.int64()) for i, x in enumerate(zip(*rows))], ["anchor", "mark", "piece", "id", "hash", "start", "stop"])
 
-    rows = cut(source.mapInArrow(emit, "anchor long, mark long, piece binary, id long, hash long, start long, stop long"))
-    settled = rows.where("piece IS NULL").select("id", "hash", "start", "stop")
-    open_rows = rows.where("piece IS NOT NULL").repartition("anchor").sortWithinPartitions("anchor", "mark", "id")
-    return settled.unionAll(open_rows.mapInArrow(sorter(length), "id long, hash long, start long, stop long"))
+    return run
 
 
 def sorter(length: int):
     """Rows sorted by (anchor, mark, id) to settled intervals.
 
-    A run of one mark is one string: its first document settles larger ones. Of an anchor with two or more different
+    A run of one mark is one string: its first document (whose row always has the bytes) settles larger ones. Of an anchor with two or more different
     pieces, one row per piece (and any more of the piece's first document) goes on to the suffix order.
     """
 

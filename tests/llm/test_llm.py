@@ -73,7 +73,9 @@ def test_secrets(docs, none):
     assert secrets.masked(docs).where("doc_id = 10").first().text == '[SECRET]" and [SECRET]'
 
 
-def test_suffix_dedup(docs, none):
+@pytest.mark.parametrize("limit", [suffix_dedup.SLICE, 0])
+def test_suffix_dedup(docs, none, monkeypatch, limit):
+    monkeypatch.setattr(suffix_dedup, "SLICE", limit)
     rng = np.random.default_rng(2)
     for _ in range(50):
         t = rng.integers(1, 4, int(rng.integers(1, 60)))
