@@ -37,7 +37,7 @@ GRAM = 16
 SLICE = 8 << 20
 SEEN = 300_000
 BROADCAST_SPANS = 1 << 20
-SORT_BYTES = 1 << 20
+SORT_BYTES = 1 << 17  # what a processor's cache holds as ranks
 _PLACE = np.uint64((1 << 26) - 1)
 
 
@@ -221,8 +221,10 @@ PIECES = "anchor long, mark long, piece binary, id long, hash long, start long,
 def pieces(length: int, wanted):
     """Texts to the pieces of their shared anchors; a piece that the task has seen in a smaller document goes without its bytes."""
 
+    hash_of = xxhash.xxh3_64_intdigest
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[int, int] = {}
+        seen: dict[int, int] = {}  # beyond SEEN it starts anew after a chunk, which only sends more bytes
         for batch in chunks(batches, "text", 1 << 20):
             data, offsets = buffers(batch.column("text"))
             k, first, last, h = windows(data, offsets, length)
@@ -236,22 +238,23 @@ def pieces(length: int, wanted):
                 continue
             at = np.minimum(np.searchsorted(anchors, h), len(anchors) - 1)
             keep = np.flatnonzero(anchors[at] == h)
-            raw, ids, hashes = data.tobytes(), batch.column("id").to_numpy(), batch.column("hash").to_numpy()
-            rows = []
-            for t, a, b, anchor in zip(k[keep].tolist(), first[keep].tolist(), last[keep].tolist(), h[keep].view(np.int64).tolist()):
-                piece = raw[a : b + length]
-                mark = xxhash.xxh3_64_intdigest(piece) - (1 << 63)
-                doc = int(ids[t])
+            if not len(keep):
+                continue
+            k, first, stop = k[keep], first[keep], last[keep] + length
+            raw, own = data.tobytes(), batch.column("id").to_numpy()[k]
+            found = [raw[a:b] for a, b in zip(first.tolist(), stop.tolist())]
+            marks = [hash_of(x) for x in found]
+            for i, (mark, doc) in enumerate(zip(marks, own.tolist())):
                 least = seen.get(mark)
-                settled = least is not None and least < doc
-                if not settled:
-                    if len(seen) >= SEEN:
-                        seen.clear()
+                if least is not None and least < doc:
+                    found[i] = None
+                else:
                     seen[mark] = doc
-                start = a - int(offsets[t])
-                rows.append((anchor, mark, None if settled else piece, doc, int(hashes[t]), start, start + len(piece)))
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary() if i == 2 else pa.int64()) for i, x in enumerate(zip(*rows))], ["anchor", "mark", "piece", "id", "hash", "start", "stop"])
+            if len(seen) >= SEEN:
+                seen.clear()
+            mark = np.array(marks, np.uint64).view(np.int64)
+            columns = [h[keep].view(np.int64), mark, pa.array(found, pa.binary()), own, batch.column("hash").to_numpy()[k], first - offsets[k], stop - offsets[k]]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["anchor", "mark", "piece", "id", "hash", "start", "stop"])
 
     return run
 
