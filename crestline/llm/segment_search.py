@@ -4,7 +4,10 @@ Vectors are cut into segments. For a segment with means m, n and deviations s, t
 differences from the mean) of its length L, the inner product of the two parts lies within L*m*n +- s*t (Cauchy-Schwarz
 on the differences); equivalently the squared distance is at least L*(m-n)^2 + (s-t)^2. Summed over the segments this
 bounds a candidate's score from above. Levels go from one segment to many; after each, only pairs whose bound reaches
-the query's current k-th score go on, and the survivors' scores are computed exactly.
+the query's current k-th score go on, and the survivors' scores are computed exactly. Bounds are taken along the
+principal axes of SEED vectors, which leaves inner products as they are and gathers what vectors have in common in the
+first axes; the last level has most axes as segments of their own. The same vectors give each query a first k-th score,
+so that no task starts from nothing. Any SEED vectors give right results; they decide only how much is pruned.
 
 Distribution. Queries are cut into blocks of bounded bytes, each broadcast in turn to one pass over all candidates; a
 pass keeps at most k rows per query and task, which a partial aggregation merges. No vector is left out.
@@ -12,6 +15,7 @@ pass keeps at most k rows per query and task, which a partial aggregation merges
 Edge cases: vectors that are null, empty or hold null or non-finite components take no part, as candidate or query;
 repeated vectors and scores are ordered by id, smaller first; fewer than k candidates give fewer rows; null ids take
 no part; vectors of different lengths are compared only with those of their own length; extra columns are not read.
+Components are whole numbers of at most 2^63; scores are exact while they stay below 2^53.
 """
 
 from __future__ import annotations
@@ -24,47 +28,82 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-LEVELS = (1, 4, 16)
+LEVELS = ((0, 1), (0, 4), (0, 2), (0.75, 1))  # share of leading axes that stand alone; axes to a segment of the rest (1: one segment in all)
+SEED = 4096
 BLOCK_BYTES = 16 << 20
 ROWS = 4096
 
 
-def statistics(x: np.ndarray, segments: int) -> np.ndarray:
+def cuts(d: int, level: tuple[float, int]) -> np.ndarray:
+    """The bounds of a level's segments over d axes."""
+    alone, wide = int(level[0] * d), level[1]
+    rest = np.arange(alone, d, wide) if wide > 1 else np.array([alone])
+    return np.r_[np.arange(alone), rest, d]
+
+
+def statistics(x: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     """Per row the scaled means sqrt(L)*m of the segments, then their deviations; a product of two rows is the bound."""
-    n, d = x.shape
-    cuts = np.linspace(0, d, min(segments, d) + 1).astype(int)
-    length = np.diff(cuts).astype(float)
-    means = np.add.reduceat(x, cuts[:-1], axis=1) / length
-    squares = np.add.reduceat((x - np.repeat(means, length.astype(int), axis=1)) ** 2, cuts[:-1], axis=1)
+    length = np.diff(bounds).astype(float)
+    means = np.add.reduceat(x, bounds[:-1], axis=1) / length
+    squares = np.add.reduceat((x - np.repeat(means, length.astype(int), axis=1)) ** 2, bounds[:-1], axis=1)
     return np.concatenate([means * np.sqrt(length), np.sqrt(squares)], axis=1)
 
 
-class Block:
-    """A block of query vectors of one length, with their statistics and best scores so far."""
+def principal(seeds: np.ndarray) -> np.ndarray:
+    """Axes of the vectors as columns, the heaviest first; an orthogonal matrix whatever the vectors are."""
+    d = seeds.shape[1]
+    with np.errstate(over="ignore", invalid="ignore"):
+        square = seeds.T @ seeds
+    if not len(seeds) or not np.isfinite(square).all():
+        return np.eye(d)
+    return np.linalg.eigh(square)[1][:, ::-1]
+
+
+def first_scores(ids: np.ndarray, x: np.ndarray, seed_ids: np.ndarray, seeds: np.ndarray, k: int) -> np.ndarray:
+    """Per query its k-th best score among the seeds other than itself, -inf where there are fewer."""
+    out = np.full(len(ids), -np.inf)
+    if len(seeds) >= k:
+        for a in range(0, len(ids), 1024):
+            score = np.where(ids[a : a + 1024, None] == seed_ids, -np.inf, x[a : a + 1024] @ seeds.T)
+            out[a : a + 1024] = -np.partition(-score, k - 1, axis=1)[:, k - 1]
+    return out
 
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray, k: int):
-        self.ids, self.x, self.k = ids, vectors, k
-        self.levels = [statistics(vectors, s) for s in LEVELS if s < 2 * vectors.shape[1]]
+
+class Block:
+    """A block of query vectors of one length, with their statistics, first scores and best scores so far."""
+
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, first: np.ndarray, turn: np.ndarray, k: int):
+        self.ids, self.x, self.first, self.turn, self.k = ids, vectors, first, turn, k
+        turned = vectors @ turn
+        bounds = {len(c): c for c in (cuts(vectors.shape[1], x) for x in LEVELS)}
+        self.levels = [(c, statistics(turned, c)) for _, c in sorted(bounds.items())]
+        self.norm = np.linalg.norm(vectors, axis=1)
         self.scores = np.full((len(ids), k), -np.inf)
         self.found = np.full((len(ids), k), np.iinfo(np.int64).max)
 
     def add(self, ids: np.ndarray, x: np.ndarray) -> None:
         """Take in a block of candidates."""
-        near = self.scores[:, -1]
+        near = np.maximum(self.scores[:, -1], self.first)
         if np.isneginf(near).any():  # nothing to compare with yet: score all
             q, c = np.divmod(np.arange(len(self.ids) * len(ids)), len(ids))
         else:
             q = c = None
-            slack = 1e-6
-            for level in self.levels:
-                own = statistics(x, level.shape[1] // 2)
-                if q is None:
-                    q, c = np.nonzero(level @ own.T + slack >= near[:, None])
+            least = near - 1e-9 * self.norm * np.linalg.norm(x, axis=1).max() - 1e-6
+            turned = x @ self.turn
+            for bounds, level in self.levels:
+                own = statistics(turned, bounds)
+                if q is None or len(q) > level.shape[0] * len(own) // 4:
+                    keep = level @ own.T >= least[:, None]
+                    if q is not None:
+                        before = np.zeros(keep.shape, bool)
+                        before[q, c] = True
+                        keep &= before
+                    q, c = np.nonzero(keep)
                 else:
                     bound = np.empty(len(q))
                     for a in range(0, len(q), 1 << 16):
                         bound[a : a + (1 << 16)] = np.einsum("ij,ij->i", level[q[a : a + (1 << 16)]], own[c[a : a + (1 << 16)]])
-                    keep = bound + slack >= near[q]
+                    keep = bound >= least[q]
                     q, c = q[keep], c[keep]
         other = self.ids[q] != ids[c]
         q, c = q[other], c[other]
@@ -105,6 +144,11 @@ def matrices(ids: list, flat: np.ndarray, lengths: np.ndarray) -> Iterator[tuple
         yield ids[own], flat[(ends[own] - d)[:, None] + np.arange(d)]
 
 
+def gathered(rows: list) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Collected rows (id, v) as ids and vectors by length."""
+    return list(matrices([r.id for r in rows], np.array([x for r in rows for x in r.v], float), np.array([len(r.v) for r in rows]))) if rows else []
+
+
 def search(vectors: DataFrame, is_query, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = 256) -> DataFrame:
     """query_id, rank, vec_id, score: each query row's k best other rows by the whole-number inner product.
 
@@ -118,11 +162,14 @@ def search(vectors: DataFrame, is_query, k: int = 5, id_col: str = "vec_id", vec
     asked = rows.where("asks").drop("asks")
     size = asked.agg(F.sum(8 * F.size("v") + 16)).first()[0] or 0
     blocks = -(-size // BLOCK_BYTES)
+    seeds = {x.shape[1]: (ids, x) for ids, x in gathered(rows.select("id", "v").limit(SEED).collect())} if blocks else {}
     out = None
     for b in range(blocks):
         own = asked.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b).collect()
-        flat = np.array([x for r in own for x in r.v], float)
-        kept = list(matrices([r.id for r in own], flat, np.array([len(r.v) for r in own]))) if own else []
+        kept = []
+        for ids, x in gathered(own):
+            seed_ids, seed = seeds.get(x.shape[1], (np.empty(0, np.int64), np.empty((0, x.shape[1]))))
+            kept.append((ids, x, first_scores(ids, x, seed_ids, seed, k), principal(seed)))
         found = pass_over(rows.drop("asks"), spark.sparkContext.broadcast(kept), k)
         out = found if out is None else out.unionAll(found)
     if out is None:
@@ -136,8 +183,8 @@ def pass_over(rows: DataFrame, kept, k: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own: dict[int, list[Block]] = {}
-        for ids, x in kept.value:
-            own[x.shape[1]] = [Block(ids[a : a + 1024], x[a : a + 1024], k) for a in range(0, len(ids), 1024)]
+        for ids, x, first, turn in kept.value:
+            own[x.shape[1]] = [Block(ids[a : a + 1024], x[a : a + 1024], first[a : a + 1024], turn, k) for a in range(0, len(ids), 1024)]
         for batch in batches:
             for a in range(0, batch.num_rows, ROWS):
                 part = batch.slice(a, ROWS)
@@ -146,7 +193,7 @@ def pass_over(rows: DataFrame, kept, k: int) -> DataFrame:
                     for block in own.get(x.shape[1], []):
                         at = 0
                         while at < len(ids):
-                            step = 256 if np.isneginf(block.scores[:, -1]).any() else ROWS
+                            step = 256 if np.isneginf(np.maximum(block.scores[:, -1], block.first)).any() else ROWS
                             block.add(ids[at : at + step], x[at : at + step])
                             at += step
         for block in (b for x in own.values() for b in x):
