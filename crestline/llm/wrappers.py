@@ -49,9 +49,19 @@ INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em fo
 VOID = frozenset("area base col embed hr img input link meta param source track wbr br".split())
 BOILERPLATE_TAGS = frozenset("nav header footer aside form button select menu dialog head option fieldset".split())
 BOILERPLATE_WORDS = frozenset("ad ads advert adverts advertisement sponsor sponsored promo banner cookie cookies consent notice notices alert popup modal newsletter subscribe signup sidebar rail widget related recommended share social breadcrumb breadcrumbs menu nav navbar navigation header masthead footer copyright comment comments reply replies disqus discussion pagination pager login search form toolbar hidden".split())
+BESIDE_WORDS = frozenset("site page box bar bars list block wrap wrapper container section area top bottom left right center button buttons link links post posts article articles story stories item items panel inner outer global primary secondary fixed sticky column col row group icon icons text message body title count toggle tools up in for".split())
 ARTICLE = frozenset(["article", "main"])
 
 
+def names_boilerplate(said: str) -> bool:
+    """Whether one of an element's names (class, id, role) says boilerplate: some of its words do, and no word says anything else."""
+    for name in said.split():
+        words = set(WORD.findall(name))
+        if not words.isdisjoint(BOILERPLATE_WORDS) and words <= BOILERPLATE_WORDS | BESIDE_WORDS:
+            return True
+    return False
+
+
 def slots(page: str) -> tuple[list[tuple], list[tuple[str, str]]]:
     """The page's token stream, and the block at each of its slots: (path, text). A path names the open containers, boilerplate with `!`."""
     tokens: list[tuple] = []
@@ -99,7 +109,7 @@ def slots(page: str) -> tuple[list[tuple], list[tuple[str, str]]]:
             close(len(stack) - 1)
         tokens.append((f"{name}.{'.'.join(words[:3])}" if words else name,))
         if name not in VOID and not m.group(4).endswith("/"):
-            bad = name in BOILERPLATE_TAGS or name not in ARTICLE and name not in ("html", "body") and not BOILERPLATE_WORDS.isdisjoint(words)
+            bad = name in BOILERPLATE_TAGS or name not in ARTICLE and name not in ("html", "body") and names_boilerplate(said)
             marks = name if name not in ("div", "section") or "main" not in words else "main"
             stack.append((name, f"!{marks}" if bad else marks))
     if at < len(page):
@@ -368,8 +378,11 @@ def infer(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> Dat
     steady = (F.size("pages") >= STEADY) & (F.col("low") == F.col("high"))
     marked = F.col("template").endswith(" marked")
     inside = F.col("path").rlike("(^|/)(article|main)(/|$)")
-    keep = ~F.col("path").contains("!") & ~steady & (~marked | inside)
-    kept = judged.where(keep).groupBy("template").agg(F.collect_set(F.concat("slot", F.lit("\t"), "path")).alias("kept"))
+    judged = judged.where(~steady & (~marked | inside)).withColumn("clear", ~F.col("path").contains("!"))
+    # A page can stand in one form as a whole: where nothing else is left of a template, its forms are no boilerplate.
+    bare = judged.groupBy("template").agg((~F.max("clear")).alias("bare"))
+    judged = judged.join(bare, "template").where(F.col("clear") | (F.col("bare") & ~F.regexp_replace("path", "!form(?=/|$)", "").contains("!")))
+    kept = judged.groupBy("template").agg(F.collect_set(F.concat("slot", F.lit("\t"), "path")).alias("kept"))
     regex = F.udf(lambda s: shown(listed(json.loads(s))), "string")
     return whole.join(kept, "template", "left").select("template", regex("name").alias("wrapper"), F.col("name").alias("tree"), F.to_json(F.coalesce("kept", F.array().cast("array<string>"))).alias("kept"))
 

@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import re
 import zlib
 
 import numpy as np
@@ -116,6 +117,53 @@ def test_wrapper_slots(spark):
     assert all(got[10 + k] == "Same text" for k in range(4))
 
 
+def test_wrapper_places(spark):
+    """The strap stands behind other elements on each page; only the aligned wrapper tells that it is one slot."""
+    heads = ["", "<h2>One a</h2>", "<h2>One b</h2><ul><li>two b</li></ul>", "<table><tr><td>three c</td></tr></table>", "<blockquote>four d</blockquote><h2>five d</h2>"]
+    rows = [(k, f"http://h/{k}", f"<body>{x}<div><em>Always said</em></div><p>Text {k}</p></body>") for k, x in enumerate(heads)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in wrappers.extract(pages).collect()}
+    assert not any("Always said" in t for t in got.values()) and all(f"Text {k}" in got[k] for k in range(5))
+
+
+def test_wrapper_names(spark):
+    bodies = {
+        "form": ("<form id=aspnetForm><p>One whole page</p></form>", "One whole page"),
+        "share": ('<div class="content share-prices"><p>Prices of shares rose</p></div>', "Prices of shares rose"),
+        "related": ('<article><p>Start</p><section class="related-work"><p>Others found</p></section></article>', "Start\nOthers found"),
+        "buttons": ('<div class="share-buttons"><p>Send</p></div><p>Kept</p>', "Kept"),
+        "search": ("<form><p>Search</p></form><p>Kept</p>", "Kept"),
+        "long": (f"<p>{'word ' * 400_000}</p>", ("word " * 400_000).strip()),
+    }
+    rows = [(i, f"http://{h}/", b, "x", "y") for i, (h, (b, _)) in enumerate(bodies.items())]
+    rows += [(10 + i, "http://same/", "<div><p>Equal page</p></div>", "x", "y") for i in range(3)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, text string, tree string")
+    got = {r.page_id: r.text for r in wrappers.extract(pages).collect()}
+    assert [got[i] for i in range(len(bodies))] == [t for _, t in bodies.values()]
+    assert all(got[10 + i] == "Equal page" for i in range(3))
+
+
+def test_wrapper_covers():
+    """Every stream is a word of the wrapper inferred from all of them, by a brute-force regular expression."""
+    import random
+
+    def spelled(nodes):
+        return "".join(f"(?:{spelled(x[1])}){x[0]}" if len(x) == 2 else f"<{x[0]}>" for x in nodes)
+
+    rng = random.Random(3)
+    for _ in range(60):
+        streams = []
+        for _ in range(rng.randint(2, 5)):
+            parts = [["a", "#", "/a"], ["p", "#", "/p"], ["h", "#", "/h"]]
+            streams.append([(t,) for _ in range(rng.randint(1, 6)) for t in rng.choice(parts)])
+        wrapper = None
+        for x in streams:
+            own = wrappers.fold(x)[0]
+            wrapper = own if wrapper is None else wrappers.align(wrapper, own)
+        for x in streams:
+            assert re.fullmatch(spelled(wrapper), "".join(f"<{t[0]}>" for t in x)), (wrapper, x)
+
+
 def test_wrapper_fold():
     row = [(f"t{k}",) for k in range(20)] + [("#",)]
     nodes, addresses = wrappers.fold(row * 3)
