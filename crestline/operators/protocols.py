@@ -13,7 +13,12 @@ from pyspark.sql import functions as F
 
 from ..functions.hashing import cell
 from ..functions.sizing import power_of_two
-from ..model import kth, local_top, nodes, ranked, result_order, top, totals, unsent
+from ..model import kth, local_top, nodes, result_order, top, totals, unsent
+
+
+# The modelled size of a record and of an id on the wire.
+RECORD_BYTES = 100
+ID_BYTES = 4
 
 
 @dataclass
@@ -23,7 +28,7 @@ class Result:
     thresholds: dict[str, int] = field(default_factory=dict)
 
     def shipped(self) -> DataFrame:
-        """round, node_id, items: rows sent by each node in each round."""
+        """round, node_id, items: rows sent by each node in each round; nodes that send nothing in a round have no row."""
         out = None
         for i, r in enumerate(self.rounds, 1):
             own = r.groupBy("node_id").agg(F.count("*").alias("items")).select(F.lit(i).alias("round"), "node_id", "items")
@@ -31,6 +36,11 @@ class Result:
         return out
 
 
+    def report(self) -> DataFrame:
+        """round, items, largest (of one node), bytes and bytes of the busiest node: what the rounds cost at RECORD_BYTES a row."""
+        return self.shipped().groupBy("round").agg(F.sum("items").alias("items"), F.max("items").alias("largest")).withColumns({"bytes": F.col("items") * RECORD_BYTES, "largest_bytes": F.col("largest") * RECORD_BYTES})
+
+
 def sent(rounds: list[DataFrame]) -> DataFrame:
     out = rounds[0].select("node_id", "item_id", "score")
     for r in rounds[1:]:
@@ -57,15 +67,15 @@ def magic(lists: DataFrame, k: int) -> Result:
 def tput(lists: DataFrame, k: int) -> Result:
     """Three-phase uniform threshold with alpha 1/2, in whole numbers: a node sends rows with 2 * n * score >= tau1."""
     n = nodes(lists)
-    places = ranked(lists).persist()
-    first = places.where(F.col("rank") <= k)
+    first = local_top(lists, k).persist()
     tau1 = kth(totals(first), k)
-    second = places.where((F.col("rank") > k) & (2 * n * F.col("score") >= tau1))
+    left = unsent(lists, first)
+    second = left.where(2 * n * F.col("score") >= tau1)
     partial = totals(sent([first, second]))
     tau2 = kth(partial, k)
     candidates = partial.where(2 * n * F.col("score") + (n - F.col("answers")) * tau1 >= 2 * n * tau2).select("item_id")
-    third = places.where((F.col("rank") > k) & (2 * n * F.col("score") < tau1)).join(candidates, "item_id", "left_semi")
-    return finish([x.drop("rank") for x in (first, second, third)], k, tau1=tau1, tau2=tau2)
+    third = left.where(2 * n * F.col("score") < tau1).join(candidates, "item_id", "left_semi")
+    return finish([first, second, third], k, tau1=tau1, tau2=tau2)
 
 
 def tput_hash(lists: DataFrame, k: int, tight: bool = False) -> Result:
@@ -75,12 +85,11 @@ def tput_hash(lists: DataFrame, k: int, tight: bool = False) -> Result:
     was too high.
     """
     n = nodes(lists)
-    places = ranked(lists).persist()
-    first = places.where(F.col("rank") <= k).drop("rank")
+    first = local_top(lists, k).persist()
     tau1 = kth(totals(first), k)
     m = power_of_two(lists.count())
     t = tau1 // max(1, n)
-    seen = places.where((F.col("rank") <= k) | (F.col("score") >= t)).withColumn("cell", cell("item_id", m))
+    seen = lists.where(F.col("score") >= t).unionByName(first.where(F.col("score") < t)).withColumn("cell", cell("item_id", m))
     per_node = seen.groupBy("node_id", "cell").agg(F.max("score").alias("score"))
     cells = per_node.groupBy("cell").agg(F.sum("score").alias("score"), F.count("*").alias("answers")).persist()
     threshold = max(tau1, kth(cells, k)) if tight else tau1
@@ -114,8 +123,7 @@ def count_min(lists: DataFrame, k: int, hashes: int = 3, columns: int = 1 << 14,
     tau = kth(totals(first), k)
     cutoff = 0
     if cut_rank:
-        places = ranked(lists)
-        cuts = places.where(F.col("rank") <= cut_rank).groupBy("node_id").agg(F.floor(F.min("score") / n).cast("bigint").alias("cutoff"))
+        cuts = local_top(lists, cut_rank).groupBy("node_id").agg(F.floor(F.min("score") / n).cast("bigint").alias("cutoff"))
         held = lists.join(cuts, "node_id").where(F.col("score") > F.col("cutoff"))
         cutoff = cuts.agg(F.sum("cutoff")).first()[0] or 0
         lists_in = held.withColumn("score", F.col("score") - F.col("cutoff")).drop("cutoff")
@@ -171,9 +179,8 @@ def extra_round(lists: DataFrame, k: int, gamma: float = 0.9, depth: int = 5, en
     from .sketches import bounds, histogram_cells, upper_bounds
 
     n = nodes(lists)
-    places = ranked(lists).persist()
-    part = places.where(F.col("rank") <= depth * k) if depth else places
-    cells, cutoffs = histogram_cells(part.drop("rank"), entries, m, 1, None, None, places)
+    part = local_top(lists, depth * k).persist() if depth else lists
+    cells, cutoffs = histogram_cells(part, entries, m, 1, None, None, lists)
     cells, cutoffs = cells.persist(), cutoffs.persist()
     total = cutoffs.agg(F.sum("cutoff")).first()[0] or 0
     over, under = bounds(cells, cutoffs)
@@ -190,8 +197,8 @@ def extra_round(lists: DataFrame, k: int, gamma: float = 0.9, depth: int = 5, en
     if found < threshold:
         # The further sketch goes down to each node's share of the score that is still possible.
         least = found // n
-        deeper = places.where(F.col("score") >= least).drop("rank")
-        cells, cutoffs = histogram_cells(deeper, entries, m, 1, None, None, places)
+        deeper = lists.where(F.col("score") >= least)
+        cells, cutoffs = histogram_cells(deeper, entries, m, 1, None, None, lists)
         cells, cutoffs = cells.persist(), cutoffs.persist()
         total = cutoffs.agg(F.sum("cutoff")).first()[0] or 0
         left = unsent(everything, first)
@@ -213,11 +220,13 @@ def klee(lists: DataFrame, k: int, cells_round: bool = False, mass: float = 0.1,
     histogram, members = histogram.persist(), members.persist()
     estimates = klee_estimates(first, histogram, members, m).persist()
     tau = kth(estimates, k)
-    places = ranked(lists)
-    low = places.where(F.col("score") * n < tau).groupBy("node_id").agg(F.min("rank").alias("stop"))
-    left = unsent(places, first).join(low, "node_id", "left")
-    limit = F.col("stop").isNull() | (F.col("rank") <= F.col("stop") if parity else F.col("rank") < F.col("stop"))
-    candidates = left.where(limit).select("node_id", "item_id", "score")
+    left = unsent(lists, first).select("node_id", "item_id", "score")
+    below = F.col("score") * n < tau
+    candidates = left.where(~below)
+    if parity:
+        row = F.max(F.struct("score", "item_id")).alias("row")
+        stop = lists.where(below).groupBy("node_id").agg(row).select("node_id", "row.item_id", "row.score")
+        candidates = candidates.unionByName(unsent(stop, first).select("node_id", "item_id", "score"))
     if not cells_round:
         return finish([first, candidates], k, tau=tau)
     wanted = estimates.orderBy(*result_order()).limit(k).select("item_id")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.hashing import cell
+from ..model import local_top
 
 
 def bloom_cells(items: DataFrame, m: int, hashes: int = 1) -> DataFrame:
@@ -48,19 +49,17 @@ def histogram_cells(lists: DataFrame, entries: int, m: int, hashes: int, least,
     `least(best)` gives the score down to which a node's sketch goes, from its k-th score; `whole` are the full lists
     where `lists` is a part that the sketch covers in full.
     """
-    per = Window.partitionBy("node_id")
     rows = lists
     if least is not None:
-        order = Window.partitionBy("node_id").orderBy(F.desc("score"), F.desc("item_id"))
-        best = F.min(F.when(F.col("place") <= k, F.col("score"))).over(per)
-        rows = lists.withColumn("place", F.row_number().over(order)).withColumn("least", least(best)).where(F.col("score") >= F.col("least")).drop("place", "least")
-    spanned = rows.withColumn("top", F.max("score").over(per)).withColumn("end", F.min("score").over(per))
+        best = local_top(lists, k).groupBy("node_id").agg(least(F.min("score")).alias("least"))
+        rows = lists.join(F.broadcast(best), "node_id").where(F.col("score") >= F.col("least")).drop("least")
+    # One row a node, whatever the lists hold; entries get their bounds from the cells' own aggregation.
+    span = rows.groupBy("node_id").agg(F.max("score").alias("top"), F.min("score").alias("end"))
     width = F.greatest(F.lit(1), F.ceil((F.col("top") - F.col("end") + 1) / entries))
-    placed = spanned.withColumn("entry", F.floor((F.col("top") - F.col("score")) / width).cast("int"))
-    bound = Window.partitionBy("node_id", "entry")
-    placed = placed.withColumn("high", F.max("score").over(bound)).withColumn("low", F.min("score").over(bound))
+    placed = rows.join(F.broadcast(span), "node_id").withColumn("entry", F.floor((F.col("top") - F.col("score")) / width).cast("int"))
+    bound = placed.groupBy("node_id", "entry").agg(F.max("score").alias("high"), F.min("score").alias("low"))
     each = F.explode(F.array(*(F.struct(F.lit(i).alias("hash_no"), cell("item_id", m, i).alias("cell")) for i in range(hashes)))).alias("c")
-    cells = placed.select("node_id", "entry", "high", "low", each).select("node_id", "entry", "high", "low", "c.*").distinct()
+    cells = placed.select("node_id", "entry", each).select("node_id", "entry", "c.*").distinct().join(F.broadcast(bound), ["node_id", "entry"])
     full = lists if whole is None else whole
     outside = full.join(rows.select("node_id", "item_id"), ["node_id", "item_id"], "left_anti").groupBy("node_id").agg(F.max("score").alias("cutoff"))
     cutoffs = full.select("node_id").distinct().join(outside, "node_id", "left").select("node_id", F.coalesce("cutoff", F.lit(0)).alias("cutoff"))
@@ -103,9 +102,10 @@ def klee_histogram(lists: DataFrame, mass: float, m: int, cells: int = 100) -> t
     histogram: node_id, h, freq, avg, low, high, held (the mass before it is at most `mass` of the whole, so its members
     are listed). members: node_id, h, cell.
     """
-    per = Window.partitionBy("node_id")
-    width = F.greatest(F.lit(1), F.floor((F.max("score").over(per) - F.min("score").over(per)) / cells))
-    placed = lists.withColumn("width", width).withColumn("h", F.floor((F.max("score").over(per) - F.col("score")) / F.col("width")).cast("int"))
+    span = lists.groupBy("node_id").agg(F.max("score").alias("top"), F.min("score").alias("end"))
+    width = F.greatest(F.lit(1), F.floor((F.col("top") - F.col("end")) / cells))
+    placed = lists.join(F.broadcast(span), "node_id").withColumn("h", F.floor((F.col("top") - F.col("score")) / width).cast("int")).drop("top", "end")
+    per = Window.partitionBy("node_id")  # over the histogram's own rows, about `cells` a node
     each = placed.groupBy("node_id", "h").agg(F.count("*").alias("freq"), F.sum("score").alias("sum"), F.min("score").alias("low"), F.max("score").alias("high"))
     running = F.sum("sum").over(Window.partitionBy("node_id").orderBy("h").rowsBetween(Window.unboundedPreceding, -1))
     each = each.withColumn("held", F.coalesce(running, F.lit(0)) <= mass * F.sum("sum").over(per)).withColumn("avg", F.floor(F.col("sum") / F.col("freq")).cast("bigint"))

@@ -67,17 +67,12 @@ STEPS = {
     # windows, sorts, set operations
     "w1_reverse_index": "SELECT node_id, item_id, CAST(row_number() OVER (PARTITION BY node_id ORDER BY score DESC, item_id DESC) - 1 AS BIGINT) AS place FROM x",
     "w2_running_mass": "SELECT node_id, item_id, CAST(sum(score) OVER (PARTITION BY node_id ORDER BY score DESC, item_id DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS mass FROM x",
-    "w3_differences": f"SELECT cell, CAST(cell - coalesce(lag(cell) OVER (ORDER BY cell), 0) AS BIGINT) AS delta FROM (SELECT DISTINCT {C} AS cell FROM x WHERE node_id = 0) t",
-    "t1_total_order": "SELECT item_id, score, CAST(row_number() OVER (ORDER BY score DESC, item_id DESC) AS BIGINT) AS place FROM x WHERE node_id = 3",
     "t2_global_top": f"{TRUTH} SELECT item_id, score FROM best",
     "t4_kth_or_zero": f"{FIRST} SELECT CASE WHEN count(*) < {K} THEN 0 ELSE min(score) END AS kth FROM (SELECT score FROM ps ORDER BY score DESC LIMIT {K}) t",
     "t5_more_than": f"{CELLS} SELECT count(*) AS n FROM cells WHERE v > 60000000",
     "t6_entry_order": f"{HIST} SELECT node_id, entry, CAST(row_number() OVER (ORDER BY freq DESC, node_id, entry) AS BIGINT) AS place FROM h",
     "o1_union_all": "SELECT node_id, item_id, score FROM x WHERE node_id < 5 UNION ALL SELECT node_id, item_id, score FROM x WHERE node_id >= 5",
-    "o2_cell_union": f"SELECT {C} AS cell FROM x WHERE node_id = 1 UNION SELECT {C} AS cell FROM x WHERE node_id = 2",
-    "o3_cell_difference": f"SELECT {C} AS cell FROM x WHERE node_id = 1 EXCEPT SELECT {C} AS cell FROM x WHERE node_id = 2",
-    "o4_bit_or": f"SELECT cell, bit_or(b) AS bits FROM (SELECT CAST(floor({C} / 32.0) AS BIGINT) AS cell, CAST(1 AS BIGINT) AS b FROM x) t GROUP BY cell",
-    "o5_cells_by_modulus": f"SELECT DISTINCT bits, hv FROM (SELECT 6 AS bits, {C} % 64 AS hv FROM x WHERE node_id = 1 UNION ALL SELECT 10 AS bits, {C} AS hv FROM x WHERE node_id = 2) t",
+    "o4_bit_or": f"SELECT cell, bit_or(b) AS bits FROM (SELECT CAST(floor({C} / 32.0) AS BIGINT) AS cell, CAST(power(2, {C} % 32) AS BIGINT) AS b FROM x) t GROUP BY cell",
     "o6_intersection": f"{TRUTH}, {GUESS} SELECT item_id FROM best INTERSECT SELECT item_id FROM appr",
     # scalar functions and sketches
     "x2_hash": f"SELECT DISTINCT item_id, {C} AS cell FROM x",
@@ -85,10 +80,8 @@ STEPS = {
     "x5_bloom_size": "SELECT node_id, CAST(ceil(1.44 * log2(1 / 0.004)) * count(*) AS BIGINT) AS m, CAST(ceil(ceil(1.44 * log2(1 / 0.004)) * ln(2)) AS BIGINT) AS hashes FROM x GROUP BY node_id",
     "x7_gcs_modulus": "SELECT node_id, CAST(CASE WHEN 0.01 >= 1 THEN 0 ELSE floor(count(*) / 0.01) END AS BIGINT) AS m FROM x GROUP BY node_id",
     "x9_rice_parameter": f"SELECT node_id, CAST(greatest(0, floor(log2((128.0 * sum(d) + 49 * count(*)) / (128.0 * count(*)))) + 1) AS BIGINT) AS k FROM (SELECT node_id, cell - coalesce(lag(cell) OVER (PARTITION BY node_id ORDER BY cell), 0) AS d FROM (SELECT DISTINCT node_id, {C} AS cell FROM x) c) t GROUP BY node_id",
-    "x10_log_scale": "SELECT item_id, score, CAST(ceil(ln(score) * 16) + 1 AS BIGINT) AS scaled FROM x WHERE node_id = 2 AND score > 1",
-    "x11_bounds": "SELECT item_id, greatest(score, 5000000) AS least_five, least(score, 5000000) AS most_five FROM x WHERE node_id = 4",
     "i7_count_min_query": f"{CELLS}, c1 AS (SELECT cell, CAST(sum(v) AS BIGINT) AS v FROM (SELECT node_id, {cell_sql('item_id', 1024, 1)} AS cell, max(score) AS v FROM x GROUP BY node_id, {cell_sql('item_id', 1024, 1)}) c GROUP BY cell), i AS (SELECT DISTINCT item_id, {C} AS p0, {cell_sql('item_id', 1024, 1)} AS p1 FROM x) SELECT item_id, least(cells.v, c1.v) AS estimate FROM i JOIN cells ON cells.cell = p0 JOIN c1 ON c1.cell = p1",
-    "i16_golomb_bits": f"SELECT node_id, CAST(sum(floor(d / 4) + 3) AS BIGINT) AS bits FROM (SELECT node_id, cell - coalesce(lag(cell) OVER (PARTITION BY node_id ORDER BY cell), 0) AS d FROM (SELECT DISTINCT node_id, {C} AS cell FROM x) c) t GROUP BY node_id",
+    "i16_golomb_bits": f"SELECT d.node_id, CAST(sum(floor(d / power(2, k)) + 1 + k) AS BIGINT) AS bits FROM (SELECT node_id, cell - coalesce(lag(cell) OVER (PARTITION BY node_id ORDER BY cell), 0) AS d FROM (SELECT DISTINCT node_id, {C} AS cell FROM x) c) d JOIN (SELECT node_id, CAST(greatest(0, floor(log2((128.0 * sum(d) + 49 * count(*)) / (128.0 * count(*)))) + 1) AS BIGINT) AS k FROM (SELECT node_id, cell - coalesce(lag(cell) OVER (PARTITION BY node_id ORDER BY cell), 0) AS d FROM (SELECT DISTINCT node_id, {C} AS cell FROM x) c) t GROUP BY node_id) p ON p.node_id = d.node_id GROUP BY d.node_id",
     # quality metrics of the approximate answer (the best 2k rows of each node)
     "m1_recall": f"{TRUTH}, {GUESS} SELECT CAST(count(*) AS DOUBLE) / {K} AS recall FROM best b JOIN appr a ON a.item_id = b.item_id",
     "m2_k_error": f"{TRUTH}, {GUESS} SELECT CAST(b.score - a.score AS DOUBLE) / b.score AS k_err FROM best b JOIN appr a ON a.rnk = b.rnk WHERE b.rnk = {K}",
@@ -98,16 +91,16 @@ STEPS = {
     "k5_differences": f"{TRUTH}, {GUESS} SELECT CAST(b.rnk AS BIGINT) AS place, b.item_id AS exact_item, a.item_id AS found_item FROM best b JOIN appr a ON a.rnk = b.rnk WHERE a.item_id <> b.item_id OR a.score <> b.score",
 }
 
-# The steps above that read one or two nodes, over every node (set operations: each node's cells against the next node's).
+# Steps over each node's own list (set operations: each node's cells against the next node's).
 NEXT = f"(node_id + {N - 1}) % {N}"
 STEPS |= {
-    "t1_total_order_all": "SELECT node_id, item_id, score, CAST(row_number() OVER (ORDER BY score DESC, item_id DESC, node_id DESC) AS BIGINT) AS place FROM x",
-    "w3_differences_all": f"SELECT node_id, cell, CAST(cell - coalesce(lag(cell) OVER (PARTITION BY node_id ORDER BY cell), 0) AS BIGINT) AS delta FROM (SELECT DISTINCT node_id, {C} AS cell FROM x) t",
-    "x10_log_scale_all": "SELECT node_id, item_id, score, CAST(ceil(ln(score) * 16) + 1 AS BIGINT) AS scaled FROM x",
-    "x11_bounds_all": "SELECT node_id, item_id, greatest(score, 5000000) AS least_five, least(score, 5000000) AS most_five FROM x",
-    "o2_cell_union_all": f"SELECT node_id, {C} AS cell FROM x UNION SELECT {NEXT} AS node_id, {C} AS cell FROM x",
-    "o3_cell_difference_all": f"SELECT node_id, {C} AS cell FROM x EXCEPT SELECT {NEXT} AS node_id, {C} AS cell FROM x",
-    "o5_cells_by_modulus_all": f"SELECT DISTINCT node_id, bits, hv FROM (SELECT node_id, 6 AS bits, {C} % 64 AS hv FROM x UNION ALL SELECT node_id, 10 AS bits, {C} AS hv FROM x) t",
+    "t1_total_order": "SELECT node_id, item_id, score, CAST(row_number() OVER (ORDER BY score DESC, item_id DESC, node_id DESC) AS BIGINT) AS place FROM x",
+    "w3_differences": f"SELECT node_id, cell, CAST(cell - coalesce(lag(cell) OVER (PARTITION BY node_id ORDER BY cell), 0) AS BIGINT) AS delta FROM (SELECT DISTINCT node_id, {C} AS cell FROM x) t",
+    "x10_log_scale": "SELECT node_id, item_id, score, CAST(ceil(ln(score) * 16) + 1 AS BIGINT) AS scaled FROM x",
+    "x11_bounds": "SELECT node_id, item_id, greatest(score, 5000000) AS least_five, least(score, 5000000) AS most_five FROM x",
+    "o2_cell_union": f"SELECT node_id, {C} AS cell FROM x UNION SELECT {NEXT} AS node_id, {C} AS cell FROM x",
+    "o3_cell_difference": f"SELECT node_id, {C} AS cell FROM x EXCEPT SELECT {NEXT} AS node_id, {C} AS cell FROM x",
+    "o5_cells_by_modulus": f"SELECT DISTINCT node_id, bits, hv FROM (SELECT node_id, 6 AS bits, {C} % 64 AS hv FROM x UNION ALL SELECT node_id, 10 AS bits, {C} AS hv FROM x) t",
 }
 
 

@@ -10,7 +10,7 @@ TABLES = {
     "L2": "SELECT l_suppkey % 10 AS node_id, l_partkey AS item_id, CAST(sum(l_quantity) AS BIGINT) AS score FROM lineitem GROUP BY l_suppkey % 10, l_partkey",
     "L3": "SELECT l_suppkey % 10 AS node_id, l_partkey AS item_id, count(*) AS score FROM lineitem GROUP BY l_suppkey % 10, l_partkey",
     "E1": "SELECT CAST(hour(ts) % 8 AS BIGINT) AS node_id, user_id AS item_id, CAST(sum(CAST(round(value * 100) AS BIGINT)) AS BIGINT) AS score FROM events GROUP BY hour(ts) % 8, user_id",
-    "E2": "SELECT dense_rank() OVER (ORDER BY event_type) - 1 AS node_id, item_id, score FROM (SELECT event_type, user_id AS item_id, CAST(sum(CAST(round(value * 100) AS BIGINT)) AS BIGINT) AS score FROM events GROUP BY event_type, user_id) t",
+    "E2": "SELECT t.node_id, e.item_id, e.score FROM (SELECT event_type, user_id AS item_id, CAST(sum(CAST(round(value * 100) AS BIGINT)) AS BIGINT) AS score FROM events GROUP BY event_type, user_id) e JOIN (SELECT event_type, row_number() OVER (ORDER BY event_type) - 1 AS node_id FROM (SELECT DISTINCT event_type FROM events) d) t ON t.event_type = e.event_type",
     "E3": "SELECT CAST(hour(ts) % 8 AS BIGINT) AS node_id, user_id AS item_id, count(*) AS score FROM events GROUP BY hour(ts) % 8, user_id",
 }
 
