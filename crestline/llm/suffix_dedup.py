@@ -189,23 +189,32 @@ def repeated(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text
     source = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("hash"), text.alias("text"))
 
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The anchors of a chunk of texts with the smallest and largest id that have them."""
         for batch in chunks(batches, "text", 1 << 20):
             k, _, _, h = windows(*buffers(batch.column("text")), length)
-            own = batch.column("id").to_numpy()[k]
-            order = np.lexsort((own, h))
-            h, own = h[order], own[order]
-            keep = np.r_[True, (h[1:] != h[:-1]) | (own[1:] != own[:-1])] if len(h) else np.zeros(0, bool)
-            yield pa.RecordBatch.from_arrays([pa.array(h[keep].view(np.int64)), pa.array(own[keep])], ["anchor", "id"])
-
-    found = source.select("id", "text").mapInArrow(anchors, "anchor long, id long")
-    shared = cut(found.groupBy("anchor").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("anchor"))
+            if not len(h):
+                continue
+            order = np.argsort(h)
+            h, own = h[order], batch.column("id").to_numpy()[k[order]]
+            head = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
+            columns = [h[head].view(np.int64), np.minimum.reduceat(own, head), np.maximum.reduceat(own, head)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["anchor", "low", "high"])
+
+    def owned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(anchor, id) of every text."""
+        for batch in chunks(batches, "text", 1 << 20):
+            k, _, _, h = windows(*buffers(batch.column("text")), length)
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(batch.column("id").to_numpy()[k])], ["anchor", "id"])
+
+    texts = source.select("id", "text")
+    shared = cut(texts.mapInArrow(anchors, "anchor long, low long, high long").groupBy("anchor").agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low < high").select("anchor"))
     if shared.count() <= SLICE:
         parts = [np.frombuffer(r.a, np.int64) for r in shared.mapInArrow(packed_anchors, "a binary").toLocalIterator()]
         wanted = spark.sparkContext.broadcast(np.sort(np.concatenate(parts).view(np.uint64)) if parts else np.empty(0, np.uint64))
         rows = source.mapInArrow(pieces(length, wanted), PIECES)
     else:
         # Each text is sent along with its own shared anchors, however many the corpus has.
-        own = found.join(shared, "anchor").distinct().groupBy("id").agg(F.collect_list("anchor").alias("anchors"))
+        own = texts.mapInArrow(owned, "anchor long, id long").distinct().join(shared, "anchor").groupBy("id").agg(F.collect_list("anchor").alias("anchors"))
         rows = source.join(own, "id").mapInArrow(pieces(length, None), PIECES)
     return rows.repartition("anchor").sortWithinPartitions("anchor", "mark", "id").mapInArrow(sorter(length), "id long, hash long, start long, stop long")
 
