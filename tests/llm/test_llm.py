@@ -278,3 +278,29 @@ def test_jaccard_links(spark):
 
 def test_registered():
     assert {n.split("_")[0] for n in queries.QUERIES} == {f"op{k}" for k in range(1, 11)}
+
+
+@pytest.mark.parametrize("links", [True, False])
+def test_jaccard_tiles(spark, monkeypatch, links):
+    """A bag of several tiles, of sets near the threshold, against all pairs."""
+    import random
+
+    monkeypatch.setattr(jaccard_join, "TILE", 16)
+    rng = random.Random(5)
+    base = [f"w{i}" for i in range(120)]
+    texts = []
+    for k in range(70):
+        own = list(base)
+        for i in rng.sample(range(120), rng.randint(0, 3)):
+            own[i] = f"x{k}_{i}"
+        texts.append(" ".join(own[: rng.randint(105, 120)]))
+    sets = [set(zip(*(t.split()[k:] for k in range(5)))) for t in texts]
+    linked = [[j for j in range(70) if j != i and 100 * len(a & sets[j]) >= 80 * len(a | sets[j])] for i, a in enumerate(sets)]
+    least = list(range(70))
+    for _ in range(70):
+        least = [min([least[i], *(least[j] for j in linked[i])]) for i in range(70)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in jaccard_join.join(docs, links=links).collect()}
+    assert [got[i].component_id for i in range(70)] == least and 0 < sum(map(len, linked)) < 70 * 69
+    if links:
+        assert [got[i].n_links for i in range(70)] == [len(x) for x in linked]
