@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.hashing import cell
-from ..functions.sizing import power_of_two
+from ..functions.sizing import Estimate, power_of_two
 from ..model import kth, local_top, nodes, result_order, top, totals, unsent
 
 
@@ -26,6 +26,7 @@ class Result:
     frame: DataFrame
     rounds: list[DataFrame] = field(default_factory=list)
     thresholds: dict[str, int] = field(default_factory=dict)
+    sketches: dict[int, dict[int, int]] = field(default_factory=dict)  # round -> node_id -> modelled bytes
 
     def shipped(self) -> DataFrame:
         """round, node_id, items: rows sent by each node in each round; nodes that send nothing in a round have no row."""
@@ -149,61 +150,69 @@ def approximate_filter(lists: DataFrame, k: int, m: int = 1 << 12, hashes: int =
     return finish([first, second], k)
 
 
-def histogram_filter(lists: DataFrame, k: int, entries: int = 10, m: int = 1 << 16, hashes: int = 1) -> Result:
+def histogram_filter(lists: DataFrame, k: int, entries: int = 10, m: int = 1 << 16, hashes: int = 1, estimate: Estimate | None = None, pop: bool = False) -> Result:
     """Two rounds, exact: the local best with a histogram of filters for the rest; the bounds of all nodes give one filter.
 
     A cell's upper bound is the sum over nodes of its best entry's largest score, or the node's cutoff where the cell
-    is in no entry. Where the threshold is no more than the sum of the cutoffs everything is sent.
+    is in no entry. Where the threshold is no more than the sum of the cutoffs everything is sent. With an estimate the
+    cost model chooses ranges and moduli, else ranges are equal. `pop` drops the lowest entries that the threshold allows.
     """
-    from .sketches import histogram_cells, upper_bounds
+    from .sketches import costed_cells, histogram_cells, popped, upper_bounds
 
     first = local_top(lists, k)
     tau = kth(totals(first), k)
     n = nodes(lists)
-    cells, cutoffs = histogram_cells(lists, entries, m, hashes, lambda best: F.ceil(best / n), k)
+    sizes: dict[int, int] = {}
+    if estimate is None:
+        cells, cutoffs = histogram_cells(lists, entries, m, hashes, lambda best: F.ceil(best / n), k)
+    else:
+        sketch = costed_cells(lists, entries, estimate, k)
+        cells, cutoffs, m, sizes = sketch.at_widest(), sketch.cutoff_rows(), sketch.wide, sketch.bytes()
     cells, cutoffs = cells.persist(), cutoffs.persist()
+    if pop:
+        cells, cutoffs = popped(cells, cutoffs, tau)
     total = cutoffs.agg(F.sum("cutoff")).first()[0] or 0
     left = unsent(lists, first)
     if tau > total:
         left = upper_bounds(left, cells, cutoffs, m, hashes, tau)
-    return finish([first, left], k, tau=tau, cutoff=total)
+    out = finish([first, left], k, tau=tau, cutoff=total)
+    out.sketches = {1: sizes}
+    return out
 
 
-def extra_round(lists: DataFrame, k: int, gamma: float = 0.9, depth: int = 5, entries: int = 10, m: int = 1 << 16, heuristic: bool = True) -> Result:
+def extra_round(lists: DataFrame, k: int, gamma: float = 0.9, depth: int = 5, entries: int = 10, heuristic: bool = True, estimate: Estimate = Estimate()) -> Result:
     """Sketches first, no rows: the bounds of the k-th score give a threshold between them, and nodes send matches with
     a further sketch; a last round with the k-th score found, less what was asked before, makes it exact.
 
-    depth * k rows of each list are in the first sketch (0: the whole list down to its end). `heuristic` lets the
-    threshold fall to the sum of the cutoffs plus one where the estimate lies below it.
+    The first sketch stops at the depth * k-th row of each list (0: it does not). `heuristic` lets the threshold fall to
+    the sum of the cutoffs plus one where the estimate lies below it.
     """
-    from .sketches import bounds, histogram_cells, upper_bounds
+    from .sketches import bounds, costed_cells, upper_bounds
 
-    n = nodes(lists)
-    part = local_top(lists, depth * k).persist() if depth else lists
-    cells, cutoffs = histogram_cells(part, entries, m, 1, None, None, lists)
-    cells, cutoffs = cells.persist(), cutoffs.persist()
-    total = cutoffs.agg(F.sum("cutoff")).first()[0] or 0
-    over, under = bounds(cells, cutoffs)
-    low, high = kth(under, k), kth(over, k)
+    sketch = costed_cells(lists, entries, estimate, k, depth)
+    narrow, cutoffs = sketch.at_narrowest(), sketch.cutoff_rows()
+    over, under = bounds(narrow, cutoffs)
+    low, high, total = kth(under, k), kth(over, k), sketch.total
     threshold = int(low + gamma * max(0, high - low))
     if threshold <= total:
         threshold = total + 1 if heuristic and high > total else 0
     everything = lists.select("node_id", "item_id", "score")
     if threshold <= total:
-        return finish([everything], k, low=low, high=high, threshold=threshold, cutoff=total)
-    first = upper_bounds(everything, cells, cutoffs, m, 1, threshold)
+        out = finish([everything], k, low=low, high=high, threshold=threshold, cutoff=total)
+        out.sketches = {1: sketch.bytes()}
+        return out
+    first = upper_bounds(everything, sketch.at_widest(), cutoffs, sketch.wide, 1, threshold).persist()
     found = kth(totals(first), k)
-    rounds = [first]
+    rounds, sizes = [first], {1: sketch.bytes()}
     if found < threshold:
         # The further sketch goes down to each node's share of the score that is still possible.
-        least = found // n
-        deeper = lists.where(F.col("score") >= least)
-        cells, cutoffs = histogram_cells(deeper, entries, m, 1, None, None, lists)
-        cells, cutoffs = cells.persist(), cutoffs.persist()
-        total = cutoffs.agg(F.sum("cutoff")).first()[0] or 0
+        deeper = costed_cells(lists, entries // 2, estimate, k, before=sketch, least=found // max(1, nodes(lists)))
+        sizes[2], total = deeper.bytes(), deeper.total
         left = unsent(everything, first)
-        rounds.append(left if found <= total else upper_bounds(left, cells, cutoffs, m, 1, found))
-    return finish(rounds, k, low=low, high=high, threshold=threshold, found=found, cutoff=total)
+        rounds.append(left if found <= total else upper_bounds(left, deeper.at_widest(), deeper.cutoff_rows(), deeper.wide, 1, found))
+    out = finish(rounds, k, low=low, high=high, threshold=threshold, found=found, cutoff=total)
+    out.sketches = sizes
+    return out
 
 
 def klee(lists: DataFrame, k: int, cells_round: bool = False, mass: float = 0.1, m: int = 1 << 12, parity: bool = True) -> Result:
@@ -251,15 +260,23 @@ PROTOCOLS = {
     "p6_tput_tight": (True, lambda x, k: tput_hash(x, k, True)),
     "p7_klee3": (False, lambda x, k: klee(x, k)),
     "p8_klee4": (False, lambda x, k: klee(x, k, True)),
-    "p9_sketch_two_rounds": (True, lambda x, k: histogram_filter(x, k)),
-    "p10_extra_round": (True, lambda x, k: extra_round(x, k)),
+    "p9_sketch_two_rounds": (True, lambda x, k: histogram_filter(x, k, estimate=Estimate())),
+    "p10_extra_round": (True, extra_round),
     "p11_extra_round_no_split": (True, lambda x, k: extra_round(x, k, 0.5, 0)),
     "p12_extra_round_no_heuristic": (True, lambda x, k: extra_round(x, k, heuristic=False)),
     "p13_extra_round_many_entries": (True, lambda x, k: extra_round(x, k, entries=100)),
-    "p14_extra_round_small_filter": (True, lambda x, k: extra_round(x, k, m=1 << 12)),
+    "p14_under": (True, lambda x, k: extra_round(x, k, estimate=Estimate(overlap=0.0))),
+    "p14_unweighted": (True, lambda x, k: extra_round(x, k, estimate=Estimate(weighted=False))),
+    "p14_ideal": (True, lambda x, k: extra_round(x, k, estimate=Estimate(overlap=-1.0))),
+    "p14_ideal_under": (True, lambda x, k: extra_round(x, k, estimate=Estimate(overlap=-1.0, bits=0.8))),
+    "p14_ideal_over": (True, lambda x, k: extra_round(x, k, estimate=Estimate(overlap=-1.0, bits=1.2))),
+    "p14_bits_20_over": (True, lambda x, k: extra_round(x, k, estimate=Estimate(bits=1.2))),
+    "p14_bits_10_over": (True, lambda x, k: extra_round(x, k, estimate=Estimate(bits=1.1))),
+    "p14_bits_20_under": (True, lambda x, k: extra_round(x, k, estimate=Estimate(bits=0.8))),
+    "p14_bits_10_under": (True, lambda x, k: extra_round(x, k, estimate=Estimate(bits=0.9))),
     "p15_approximate_gcs": (False, lambda x, k: approximate_filter(x, k)),
-    "p16_bloom_sketch": (True, lambda x, k: histogram_filter(x, k, hashes=2)),
-    "p17_gcs_sketch": (True, lambda x, k: histogram_filter(x, k, m=1 << 14)),
+    "p16_bloom_sketch": (True, lambda x, k: histogram_filter(x, k, hashes=2, pop=True)),
+    "p17_gcs_sketch": (True, lambda x, k: histogram_filter(x, k, estimate=Estimate(), pop=True)),
     "p18_count_min": (True, lambda x, k: count_min(x, k, cut_rank=k)),
     "p19_approximate_bloom": (False, lambda x, k: approximate_filter(x, k, 1 << 10, 3)),
     "p20_count_min_whole": (True, lambda x, k: count_min(x, k)),

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.hashing import cell
+from ..functions.hashing import cell, h
+from ..functions.sizing import Estimate, gcs_bytes_model
 from ..model import local_top
 
 
@@ -129,32 +132,159 @@ def klee_estimates(sent: DataFrame, histogram: DataFrame, members: DataFrame, m:
 
 
 def popped(cells: DataFrame, cutoffs: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
-    """Drops the lowest entries, most cells first, while the sum of the cutoffs stays under `least`.
+    """Drops the lowest entry of nodes, most cells for a point of cutoff first, until the cutoffs would reach `least`.
 
     One row per entry and node comes to the driver: nodes times entries, whatever the lists hold.
     """
     spark = cells.sparkSession
     sizes = cells.groupBy("node_id", "entry").agg(F.max("high").alias("high"), F.count("*").alias("size")).collect()
     cut = {r.node_id: r.cutoff for r in cutoffs.collect()}
-    left = {}
-    for r in sizes:
-        left.setdefault(r.node_id, []).append((r.entry, r.high, r.size))
-    gone = []
-    while True:
-        options = []
-        for node, own in left.items():
-            if own:
-                entry, high, size = max(own)
-                change = max(high, cut[node]) - cut[node]
-                if sum(cut.values()) + change < least:
-                    options.append((size / (1 + change), node, entry, max(high, cut[node])))
-        if not options:
+    lowest = {}
+    for r in sorted(sizes, key=lambda r: r.entry):
+        lowest[r.node_id] = r
+    rise = {node: max(0, r.high - cut[node]) for node, r in lowest.items()}
+    total, gone = sum(cut.values()), []
+    for node in sorted(lowest, key=lambda n: (-lowest[n].size / (1 + rise[n]), n)):
+        if total + rise[node] >= least:
             break
-        _, node, entry, high = max(options)
-        left[node] = [x for x in left[node] if x[0] != entry]
-        cut[node] = high
-        gone.append((node, entry))
+        total += rise[node]
+        cut[node] += rise[node]
+        gone.append((node, lowest[node].entry))
     if not gone:
         return cells, cutoffs
     dropped = spark.createDataFrame(gone, "node_id long, entry int")
-    return cells.join(dropped, ["node_id", "entry"], "left_anti"), spark.createDataFrame(list(cut.items()), "node_id long, cutoff long")
+    return cells.join(F.broadcast(dropped), ["node_id", "entry"], "left_anti"), spark.createDataFrame(list(cut.items()), "node_id long, cutoff long")
+
+
+@dataclass
+class Costed:
+    """A histogram of filters whose ranges and sizes the cost model chose.
+
+    cells: node_id, entry, high, low, m, cell, each at its entry's own modulus m. ranges: (node_id, entry, high, low, m,
+    rows) of each entry, and cutoffs: node_id -> best score below the last entry; both are small and on the driver.
+    """
+
+    cells: DataFrame
+    ranges: list[tuple]
+    cutoffs: dict[int, int]
+
+    @property
+    def total(self) -> int:
+        return sum(self.cutoffs.values())
+
+    @property
+    def wide(self) -> int:
+        return max((r[4] for r in self.ranges), default=1)
+
+    def cutoff_rows(self) -> DataFrame:
+        return self.cells.sparkSession.createDataFrame(list(self.cutoffs.items()), "node_id long, cutoff long")
+
+    def at_widest(self) -> DataFrame:
+        """Cells at the largest modulus; a cell of a smaller one stands for all that fold to it (SPREAD at most)."""
+        step = F.sequence(F.col("cell"), F.lit(self.wide - 1).cast("bigint"), F.col("m"))
+        return self.cells.select("node_id", "entry", "high", "low", F.lit(0).alias("hash_no"), F.explode(step).alias("cell"))
+
+    def at_narrowest(self) -> DataFrame:
+        """Cells folded to the smallest modulus, where an item counts once."""
+        m = min((r[4] for r in self.ranges), default=1)
+        return self.cells.select("node_id", "entry", "high", "low", F.lit(0).alias("hash_no"), F.pmod("cell", F.lit(m)).alias("cell"))
+
+    def bytes(self) -> dict[int, int]:
+        """node_id -> modelled bytes of its entries with their bounds, and of the cutoff."""
+        out = dict.fromkeys(self.cutoffs, 4)
+        for node, _, _, _, m, rows in self.ranges:
+            out[node] += 8 + gcs_bytes_model(rows, m)
+        return out
+
+
+def cost_ranges(lists: DataFrame, spans: dict[int, tuple[int, int, int]], modulus, first: int = 0) -> tuple[list[tuple], dict[int, int]]:
+    """(ranges, cutoffs): each node's scores from `spans[node]` = (start, end, entries) cut into ranges from the top down.
+
+    A range takes an equal part of what is left; while `modulus(node, rows, best)` is 0 (no filter pays) it is halved, and
+    a halved range is the last if rows are left above its planned end. All nodes go down one range a pass: a pass is one
+    aggregation of the rows by the bands between the possible ends, at most 34 rows a node, whatever the lists hold.
+    """
+    spark = lists.sparkSession
+    state, made, cutoffs = dict(spans), [], {}
+    entry = first
+    while state:
+        ends = {}
+        for node, (at, least, left) in state.items():
+            width = max(0, at - least) // left
+            ends[node] = [at - width]
+            while width:
+                width //= 2
+                ends[node].append(at - width)
+        probe = spark.createDataFrame([(n, state[n][0], own) for n, own in ends.items()], "node_id long, start long, ends array<long>")
+        band = F.size(F.filter("ends", lambda e: e <= F.col("score"))).alias("band")
+        near = lists.select("node_id", "score").join(F.broadcast(probe), "node_id").where("score <= start")
+        bands = {}
+        for r in near.groupBy("node_id", band).agg(F.count("*").alias("n"), F.max("score").alias("best")).collect():
+            bands.setdefault(r.node_id, {})[r.band] = (r.n, r.best)
+        after = {}
+        for node, (at, least, left) in state.items():
+            own = bands.get(node, {})
+            for j, end in enumerate(ends[node]):
+                rows = sum(n for b, (n, _) in own.items() if b > j)
+                m = modulus(node, rows, at) if rows else 0
+                if m:
+                    break
+            else:
+                cutoffs[node] = at
+                continue
+            made.append((node, entry, at, end, m, rows))
+            below = max((best for b, (_, best) in own.items() if b <= j), default=0)
+            if below >= max(1, least) and below < ends[node][0] and left > 1:
+                after[node] = (below, least, left - 1)
+            else:
+                cutoffs[node] = below
+        state, entry = after, entry + 1
+    return made, cutoffs
+
+
+SPREAD = 64  # the largest modulus over the smallest of a histogram
+
+
+def costed_cells(lists: DataFrame, entries: int, estimate: Estimate, k: int, depth: int = 0, before: Costed | None = None, least: int | None = None) -> Costed:
+    """A histogram of filters down to each node's share of its k-th score, or to its depth * k-th row if that comes first.
+
+    With `before`, the histogram goes on below it down to `least`, with `entries` further entries, and holds both.
+    """
+    spark = lists.sparkSession
+    at_k = F.min("score").alias("at_k")
+    best = local_top(lists, k).groupBy("node_id").agg(at_k)
+    facts = lists.groupBy("node_id").agg(F.count("*").alias("length"), F.max("score").alias("top"), F.min("score").alias("end")).join(F.broadcast(best), "node_id")
+    facts = {r.node_id: r for r in facts.collect()}
+    true = lists.select("item_id").distinct().count() if estimate.overlap < 0 else 0
+    deep = {r.node_id: r.score for r in local_top(lists, depth * k + 1).groupBy("node_id").agg(F.min("score").alias("score")).collect()} if depth else {}
+    spans = {}
+    for node, f in facts.items():
+        if before is not None:
+            if before.cutoffs.get(node, 0) > 0 and before.cutoffs[node] >= max(least, f.end):
+                spans[node] = (before.cutoffs[node], max(least, f.end), max(1, entries))
+            continue
+        low, count = max(-(-f.at_k // len(facts)), f.end), entries
+        if node in deep and deep[node] > low:
+            count = max(1, int(entries * (f.top - deep[node]) / max(1, f.top - low)))
+            low = deep[node]
+        spans[node] = (f.top, low, count)
+
+    def modulus(node: int, rows: int, top: int) -> int:
+        f = facts[node]
+        return estimate.modulus(rows, top, f.at_k, len(facts), f.length, true)
+
+    held = [] if before is None else before.ranges
+    ranges, cutoffs = cost_ranges(lists, spans, modulus, 1 + max((r[1] for r in held), default=-1))
+    cutoffs = {**dict.fromkeys(facts, 0), **(before.cutoffs if before else {}), **cutoffs}
+    ranges = held + ranges
+    floor = max((r[4] for r in ranges), default=1) // SPREAD
+    ranges = [(*r[:4], max(r[4], floor), r[5]) for r in ranges]
+    own = {}
+    for r in ranges:
+        own.setdefault(r[0], []).append(r[1:5])
+    frame = spark.createDataFrame(list(own.items()), "node_id long, own array<struct<entry:int,high:long,top_low:long,m:long>>")
+    within = F.get(F.filter("own", lambda e: F.col("score").between(e.top_low, e.high)), F.lit(0)).alias("e")
+    placed = lists.join(F.broadcast(frame), "node_id").select("node_id", "item_id", "score", within).where("e IS NOT NULL").select("node_id", "item_id", "score", "e.*")
+    low = placed.groupBy("node_id", "entry").agg(F.min("score").alias("low"))
+    cells = placed.select("node_id", "entry", "high", "m", F.pmod(h("item_id"), "m").alias("cell")).distinct().join(F.broadcast(low), ["node_id", "entry"])
+    return Costed(cells.persist(), ranges, cutoffs)
