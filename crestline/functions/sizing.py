@@ -11,10 +11,10 @@ def power_of_two(x: float) -> int:
     return 1 << max(0, math.floor(math.log2(max(1.0, x)) + 0.5))
 
 
-def bloom_eps(record_bits: float, items: int, held: int, probability: float = 1.0) -> float:
-    """False-positive rate that balances filter bits against records sent in vain."""
+def bloom_eps(record_bits: float, items: int, held: int, transfers: int = 1) -> float:
+    """False-positive rate that balances the bits of a filter sent `transfers` times against records sent in vain."""
     ratio = items // held - 1 if held else 0
-    return math.inf if ratio <= 0 else record_bits * 1.44 / (probability * math.log(2) * ratio)
+    return math.inf if ratio <= 0 else transfers * 1.44 / (record_bits * math.log(2) * ratio)
 
 
 def bloom_size(n: int, eps: float) -> tuple[int, int]:

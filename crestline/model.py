@@ -50,3 +50,21 @@ def unique(lists: DataFrame) -> DataFrame:
 
 def unsent(lists: DataFrame, sent: DataFrame) -> DataFrame:
     return lists.join(sent.select("node_id", "item_id"), ["node_id", "item_id"], "left_anti")
+
+
+def placed(rows: DataFrame, order: list[str], descending: bool = True) -> DataFrame:
+    """Rows with their place from 0 in one order over all, without a task that sees them all.
+
+    Rows are dealt out by ranges of the order and sorted there; the driver holds the row count of each range.
+    """
+    spark = rows.sparkSession
+    by = [F.desc(c) if descending else F.asc(c) for c in order]
+    ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+    own = rows.repartitionByRange(ranges, *by).sortWithinPartitions(*by).withColumn("_at", F.monotonically_increasing_id()).persist()
+    part = F.shiftright("_at", 33)
+    offsets, total = [], 0
+    for r in own.groupBy(part.alias("part")).count().orderBy("part").collect():
+        offsets.append((r.part, total))
+        total += r["count"]
+    starts = F.broadcast(spark.createDataFrame(offsets, "part long, start long"))
+    return own.withColumn("part", part).join(starts, "part").withColumn("place", F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)) + F.col("start")).drop("_at", "part", "start")

@@ -26,7 +26,8 @@ class Result:
     frame: DataFrame
     rounds: list[DataFrame] = field(default_factory=list)
     thresholds: dict[str, int] = field(default_factory=dict)
-    sketches: dict[int, dict[int, int]] = field(default_factory=dict)  # round -> node_id -> modelled bytes
+    sketches: dict[int, int] = field(default_factory=dict)  # round -> modelled bytes of thresholds, ids and sketches
+    lookups: set[int] = field(default_factory=set)  # rounds in which nodes look items up instead of reading their lists
 
     def shipped(self) -> DataFrame:
         """round, node_id, items: rows sent by each node in each round; nodes that send nothing in a round have no row."""
@@ -62,7 +63,9 @@ def magic(lists: DataFrame, k: int) -> Result:
     """The least an exact protocol could send: after the local best, just the true winners' other rows."""
     first = local_top(lists, k)
     winners = top(lists, k).select("item_id")
-    return finish([first, unsent(lists.join(winners, "item_id", "left_semi"), first)], k)
+    out = finish([first, unsent(lists.join(winners, "item_id", "left_semi"), first)], k)
+    out.lookups = {2}
+    return out
 
 
 def tput(lists: DataFrame, k: int) -> Result:
@@ -76,7 +79,9 @@ def tput(lists: DataFrame, k: int) -> Result:
     tau2 = kth(partial, k)
     candidates = partial.where(2 * n * F.col("score") + (n - F.col("answers")) * tau1 >= 2 * n * tau2).select("item_id")
     third = left.where(2 * n * F.col("score") < tau1).join(candidates, "item_id", "left_semi")
-    return finish([first, second, third], k, tau1=tau1, tau2=tau2)
+    out = finish([first, second, third], k, tau1=tau1, tau2=tau2)
+    out.sketches, out.lookups = {2: ID_BYTES * n, 3: ID_BYTES * n * candidates.count()}, {3}
+    return out
 
 
 def tput_hash(lists: DataFrame, k: int, tight: bool = False) -> Result:
@@ -176,7 +181,7 @@ def histogram_filter(lists: DataFrame, k: int, entries: int = 10, m: int = 1 <<
     if tau > total:
         left = upper_bounds(left, cells, cutoffs, m, hashes, tau)
     out = finish([first, left], k, tau=tau, cutoff=total)
-    out.sketches = {1: sizes}
+    out.sketches = {1: sum(sizes.values())}
     return out
 
 
@@ -199,15 +204,15 @@ def extra_round(lists: DataFrame, k: int, gamma: float = 0.9, depth: int = 5, en
     everything = lists.select("node_id", "item_id", "score")
     if threshold <= total:
         out = finish([everything], k, low=low, high=high, threshold=threshold, cutoff=total)
-        out.sketches = {1: sketch.bytes()}
+        out.sketches = {1: sum(sketch.bytes().values())}
         return out
     first = upper_bounds(everything, sketch.at_widest(), cutoffs, sketch.wide, 1, threshold).persist()
     found = kth(totals(first), k)
-    rounds, sizes = [first], {1: sketch.bytes()}
+    rounds, sizes = [first], {1: sum(sketch.bytes().values())}
     if found < threshold:
         # The further sketch goes down to each node's share of the score that is still possible.
         deeper = costed_cells(lists, entries // 2, estimate, k, before=sketch, least=found // max(1, nodes(lists)))
-        sizes[2], total = deeper.bytes(), deeper.total
+        sizes[2], total = sum(deeper.bytes().values()) - sizes[1], deeper.total
         left = unsent(everything, first)
         rounds.append(left if found <= total else upper_bounds(left, deeper.at_widest(), deeper.cutoff_rows(), deeper.wide, 1, found))
     out = finish(rounds, k, low=low, high=high, threshold=threshold, found=found, cutoff=total)

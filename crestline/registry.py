@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 
 from .functions.hashing import cell_sql
 from .model import result_order, top
+from .operators import steps
 from .operators.protocols import PROTOCOLS
+from .operators.report import export, overview
 from .plans import relational
 from .sources.lists import SQL, load
 
@@ -22,6 +24,10 @@ def protocol(name: str, source: str, spark: SparkSession, sf_dir: str) -> DataFr
     return PROTOCOLS[name][1](load(spark, sf_dir, source).persist(), K).frame
 
 
+def step(name: str, spark: SparkSession, sf_dir: str) -> DataFrame:
+    return steps.STEPS[name](load(spark, sf_dir, "L1").persist())
+
+
 def rounds_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """protocol, round and what was sent in it, for the protocols whose rounds an oracle states."""
     lists = load(spark, sf_dir, "L1").persist()
@@ -48,6 +54,41 @@ def answer_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
+COSTED = ["p1_naive", "p2_naive_2k", "p3_magic", "p4_tput"]
+
+
+def export_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return export(load(spark, sf_dir, "L1").persist(), COSTED, K, source="L1")
+
+
+def best_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return overview(export_rows(spark, sf_dir))
+
+
+def export_sql() -> str:
+    """The same figures from the rounds by their definitions: 2k rows a node are the one answer that is not exact."""
+    body = rounds_sql().rsplit("\nSELECT protocol, round", 1)[0]
+    n, tput, looked = 10, "protocol = 'p4_tput'", "(protocol = 'p3_magic' AND round = 2 OR protocol = 'p4_tput' AND round = 3)"
+    each = []
+    for i in range(1, 5):
+        at = f"FILTER (WHERE round = {i})"
+        each += [f"coalesce(max(sketch) {at}, 0)::BIGINT AS r{i}_sketch_bytes", f"coalesce(sum(items) {at}, 0)::BIGINT AS r{i}_transferred_items_sum"]
+        for kind, test in (("serial_items", f"NOT {looked}"), ("random_items", looked), ("random_access", looked)):
+            each += [f"coalesce({f}(items) FILTER (WHERE round = {i} AND {test}), 0)::BIGINT AS r{i}_{kind}_{f}" for f in ("sum", "max")]
+    names = ", ".join(f"('{name}', {name != 'p2_naive_2k'}, {rounds})" for name, rounds in zip(COSTED, (1, 1, 2, 3)))
+    return f"""{body}, ids AS (SELECT count(*) AS ids FROM c), z AS (SELECT s.*, CASE WHEN {tput} AND round = 2 THEN {4 * n} WHEN {tput} AND round = 3 THEN {4 * n} * ids ELSE 0 END AS sketch FROM s CROSS JOIN ids),
+d AS (SELECT protocol, sum(items) AS items, {", ".join(each)} FROM z GROUP BY protocol),
+g AS (SELECT distance FROM ({relational.text("m5_distance")}) a), q AS (SELECT * FROM ({quality_sql()}) a WHERE protocol = 'p2_naive_2k'),
+b AS (SELECT min(score) AS score_k FROM ({exact_sql("L1")}) a), names(protocol, exact, rounds) AS (VALUES {names})
+SELECT names.protocol, 'L1' AS source, exact, CAST(rounds AS BIGINT) AS rounds, CAST(100 * items + r1_sketch_bytes + r2_sketch_bytes + r3_sketch_bytes + r4_sketch_bytes AS BIGINT) AS bytes,
+CASE WHEN exact THEN 0.0 ELSE rel_err END::DOUBLE AS rel_err, CASE WHEN exact THEN 1.0 ELSE recall END::DOUBLE AS recall, CASE WHEN exact THEN 1.0 ELSE distance END::DOUBLE AS distance, CAST(score_k AS BIGINT) AS score_k, CASE WHEN exact THEN 0.0 ELSE k_err END::DOUBLE AS k_err, d.* EXCLUDE (protocol, items)
+FROM names JOIN d ON d.protocol = names.protocol CROSS JOIN g CROSS JOIN q CROSS JOIN b"""
+
+
+def best_sql() -> str:
+    return f"SELECT exact, count(*) AS protocols, min_by(protocol, (bytes, protocol)) AS cheapest, min_by(protocol, (rel_err, bytes, protocol)) AS closest FROM ({export_sql()}) e GROUP BY exact"
+
+
 def rounds_sql() -> str:
     """The rounds by their definitions: the local best, the winners' other rows, and the three phases of the uniform threshold."""
     n = 10
@@ -95,8 +136,9 @@ def naive_2k_sql(source: str) -> str:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     out: dict[str, Callable] = {name: partial(protocol, name, "L1") for name in PROTOCOLS}
     out |= {f"{name}_zipf": partial(protocol, name, "Z2") for name in ("p1_naive", "p4_tput", "p6_tput_tight", "p9_sketch_two_rounds", "p10_extra_round")}
-    out |= {name: partial(relational.run, sql=relational.text(name)) for name in relational.STEPS}
-    out |= {"k1_rounds_report": rounds_report, "m1_m4_answer_quality": answer_quality}
+    out |= {name: partial(relational.run, sql=relational.text(name)) for name in relational.STEPS if name not in steps.STEPS}
+    out |= {name: partial(step, name) for name in steps.STEPS}
+    out |= {"k1_rounds_report": rounds_report, "m1_m4_answer_quality": answer_quality, "k1_export": export_rows, "k4_overview": best_rows}
     out |= {name: partial(relational.run, sql=sql) for name, sql in relational.SOURCES.items()}
     return out
 
@@ -105,6 +147,6 @@ def oracle_sql() -> dict[str, str]:
     out = {name: exact_sql("L1") for name, (exact, _) in PROTOCOLS.items() if exact}
     out |= {name: exact_sql("Z2") for name in queries() if name.endswith("_zipf") and name.startswith("p")}
     out |= {"p2_naive_2k": naive_2k_sql("L1"), "p15_approximate_gcs": filter_sql("L1", 1 << 12, 1), "p19_approximate_bloom": filter_sql("L1", 1 << 10, 3)}
-    out |= {"k1_rounds_report": rounds_sql(), "m1_m4_answer_quality": quality_sql()}
+    out |= {"k1_rounds_report": rounds_sql(), "m1_m4_answer_quality": quality_sql(), "k1_export": export_sql(), "k4_overview": best_sql()}
     out |= {name: relational.text(name) for name in relational.STEPS}
     return out | relational.SOURCES

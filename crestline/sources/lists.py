@@ -44,6 +44,18 @@ def simple_zipf_sql(n: int, zipf: float, lists: int = 1) -> str:
 FROM (SELECT r, p, min(p) OVER () AS least_p FROM (SELECT i + 1 AS r, power(CAST(i + 1 AS DOUBLE), -{zipf}) AS p FROM range({n}) AS t(i)) a) c CROSS JOIN range({lists}) AS b(i)"""
 
 
+def disjoint_zipf_sql(n: int, zipf: float, lists: int) -> str:
+    """The same curve at every node, over items that no two nodes share."""
+    return f"SELECT node_id, node_id * 100000000 + item_id AS item_id, score FROM ({simple_zipf_sql(n, zipf, lists)}) s"
+
+
+def offset_zipf_sql(n: int, zipf: float, lists: int, overlap: float) -> str:
+    """n - 1 items a node on a curve normalised to 10^7 plus the node's number; floor(overlap * n) + 1 ranks share their
+    item over the nodes."""
+    return f"""SELECT b.i AS node_id, CASE WHEN r <= {int(overlap * n) + 1} THEN r ELSE 100000000 * (b.i + 1) + r END AS item_id, CAST(floor(p / whole * 10000000 + b.i + 1e-9) AS BIGINT) AS score
+FROM (SELECT r, p, sum(p) OVER () AS whole FROM (SELECT i + 1 AS r, power(CAST(i + 1 AS DOUBLE), -{zipf}) AS p FROM range({n - 1}) AS t(i)) a) c CROSS JOIN range({lists}) AS b(i)"""
+
+
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A named source; only the columns that its text uses are read."""
     for table in ("lineitem", "events"):

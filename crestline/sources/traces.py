@@ -7,9 +7,11 @@ import struct
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..model import placed
+
 # Record layouts. Home-IP trace, big-endian; access log, little-endian.
 HOME_IP = ">IIIIIIIHIHBBIIIIIH"
 ACCESS = "<IIIIBBBB"
@@ -74,5 +76,5 @@ def search_results(spark: SparkSession, path: str) -> DataFrame:
 
 def numbered(results: DataFrame) -> DataFrame:
     """Lists with dense document numbers from 0, by name; the dictionary has a row per document."""
-    names = results.select("doc").distinct().withColumn("item_id", (F.row_number().over(Window.orderBy("doc")) - 1).cast("bigint"))
+    names = placed(results.select("doc").distinct(), ["doc"], descending=False).select("doc", F.col("place").alias("item_id"))
     return results.join(names, "doc").groupBy("node_id", "item_id").agg(F.sum("score").alias("score"))

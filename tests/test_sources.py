@@ -2,7 +2,7 @@ import gzip
 import struct
 
 from crestline.model import top
-from crestline.sources import traces
+from crestline.sources import topics, traces
 
 
 def test_access_log(spark, tmp_path):
@@ -26,3 +26,15 @@ def test_search_results(spark, tmp_path):
     (tmp_path / "r.txt").write_text("noise\n0 Q0 docB 1 -1.5 run\n0 Q0 docA 2 -3.0 run\n1 Q0 docB 1 0.25 run\n")
     got = {tuple(r) for r in traces.numbered(traces.search_results(spark, str(tmp_path / "r.txt"))).collect()}
     assert got == {(0, 1, 2500), (0, 0, 1000), (1, 1, 4250)}
+
+
+def test_topics(spark, tmp_path):
+    (tmp_path / "t.xml").write_text('<webtrack><topic number="1"><description>\n  find "red" cars? </description></topic><topic number="2"><description>the cars.</description></topic></webtrack>')
+    found = topics.topics(spark, str(tmp_path / "t.xml"))
+    assert {tuple(r) for r in found.collect()} == {(1, "find red cars"), (2, "the cars")}
+    words = topics.vocabulary(found)
+    assert {tuple(r) for r in words.collect()} == {("cars", 0), ("find", 1), ("red", 2), ("the", 3)}
+    results = spark.createDataFrame([(0, 5, 9), (2, 5, 4), (1, 6, 1)], "node_id long, item_id long, score long")
+    assert {tuple(r) for r in topics.topic_lists(found, results, 2).collect()} == {(0, 5, 9)}
+    topics.write_queries(words, str(tmp_path / "q"), 3)
+    assert spark.read.format("xml").option("rowTag", "query").load(str(tmp_path / "q")).count() == 4
