@@ -26,13 +26,14 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/crestline/{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame, codec: str = "zstd", tidy: bool = True) -> DataFrame:
+def cut(df: DataFrame, codec: str = "zstd", tidy: bool = True, folder: str | None = None) -> DataFrame:
     """Write df as a table in the shared folder and read it again: later work never recomputes it, whichever executors are lost.
 
     tidy lets Spark's cleaner drop the shuffle files of what is written now, which costs a collection on the driver.
+    folder (of shared_dir) is for tables that one remove() takes away once all that reads them is written itself.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/cut"
+    path = f"{folder or shared_dir(spark)}/{uuid.uuid4().hex}"
     df.write.option("compression", codec).parquet(path)
     if tidy:
         gc.collect()

@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import components
-from .common import chunks, cut, text_or_empty
+from .common import chunks, cut, remove, shared_dir, text_or_empty
 from .shingles import mix, sets
 
 HOT_LIST = 1 << 18
@@ -238,7 +238,7 @@ def bounded(pairs: DataFrame, maps: DataFrame, percent: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").where(near).select("a", "b", "n1", "n2", "bits1", "bits2").mapInArrow(run, "a long, b long")
 
 
-def arrays_of(docs: DataFrame, maps: DataFrame, keys: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def arrays_of(docs: DataFrame, maps: DataFrame, keys: DataFrame, id_col: str, text_col: str, folder: str) -> DataFrame:
     """key and shingles (sorted 64-bit words as bytes) of the sets wanted (keys), one row each.
 
     The ids go to the workers as an array of whole numbers while it is at most ID_BYTES, else texts are joined. A set
@@ -456,7 +456,8 @@ def join(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: s
 
 def _join(docs: DataFrame, percent: int, id_col: str, text_col: str, links: bool) -> DataFrame:
     spark = docs.sparkSession
-    told = cut(describe(docs, id_col, text_col))
+    first, second = shared_dir(spark), shared_dir(spark)  # tables that go once bags, and once links, are written
+    told = cut(describe(docs, id_col, text_col), folder=first)
     own = told.where("kind = 0").drop("kind")
     common = told.where("kind = 1").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= HOT_LEAST).orderBy(F.desc("n"), "key").limit(HOT_LIST).collect()
     tokens = np.array([r.key for r in common], np.int64).view(np.uint64)
@@ -464,21 +465,24 @@ def _join(docs: DataFrame, percent: int, id_col: str, text_col: str, links: bool
     places = np.array([r.n for r in common], np.int64)
     hot = spark.sparkContext.broadcast((tokens[order], places[order]))
     maps = cut(own.where("n > 0").groupBy("key").agg(F.first("n").alias("n"), F.first("bits").alias("bits"), F.min("id").alias("id"), F.count("*").alias("copies")))
-    index = cut(shared_index(docs, hot, percent, text_col))
+    own = cut(own.drop("bits"))
+    index = cut(shared_index(docs, hot, percent, text_col), folder=first)
 
     pairs = [index.select(F.least("key", c).alias("a"), F.greatest("key", c).alias("b")).where("a <> b") for c in ("hub", "before")]
-    near = cut(bounded(pairs[0].unionAll(pairs[1]).distinct(), maps, percent))
+    near = cut(bounded(pairs[0].unionAll(pairs[1]).distinct(), maps, percent), folder=first)
     place = ["token", "t1", "t2"]
-    members = cut(in_several(index, cut(components.label(near))))
+    members = cut(in_several(index, cut(components.label(near), folder=first)), folder=first)
     dealt = tile_pairs(members, percent).join(maps.select("key", "bits"), "key").select(*place, "second", "n", "key", "mid", "bag", "bits")
-    more = cut(dealt.repartition(*place).sortWithinPartitions(*place, "n", "key").mapInArrow(cross(percent), "a long, b long"))
+    more = cut(dealt.repartition(*place).sortWithinPartitions(*place, "n", "key").mapInArrow(cross(percent), "a long, b long"), folder=first)
     bags = cut(components.label(near.unionAll(more)).withColumnsRenamed({"node": "key", "root": "token"}))
+    remove(spark, first)
 
     ranked = bags.join(maps.select("key", "n", "copies"), "key").withColumn("rank", F.row_number().over(Window.partitionBy("token").orderBy("n", "key")) - 1)
-    members = cut(ranked.select("token", tile_of("rank").alias("tile"), "n", "key", F.lit(True).alias("mid"), "copies"))
-    arrays = arrays_of(docs, maps, bags.select("key"), id_col, text_col)
+    members = cut(ranked.select("token", tile_of("rank").alias("tile"), "n", "key", F.lit(True).alias("mid"), "copies"), folder=second)
+    arrays = arrays_of(docs, maps, bags.select("key"), id_col, text_col, second)
     dealt = tile_pairs(members, percent).join(arrays, "key").select(*place, "second", "n", "key", "copies", "shingles")
     told_links = cut(dealt.repartition(*place).sortWithinPartitions(*place, "n", "key").mapInArrow(intersected(percent, links), "a long, b long, linked long"))
+    remove(spark, second)
 
     classes = cut(components.label(told_links.where("b IS NOT NULL").select("a", "b")))
     roots = maps.select("key", "id", "copies").join(classes.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
