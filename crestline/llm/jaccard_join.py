@@ -274,7 +274,12 @@ def arrays_of(docs: DataFrame, maps: DataFrame, keys: DataFrame, id_col: str, te
     nameless = wanted.where("id IS NULL").select("key")
     if nameless.limit(1).count():
         out = out.unionAll(source.where("id IS NULL").mapInArrow(run, shape).join(nameless, "key", "left_semi"))
-    return cut(out.dropDuplicates(["key"]))
+    out = cut(out, folder=folder)
+    # A key comes twice only where an id or a nameless row repeats; only those arrays are dealt by key here.
+    repeated = cut(out.groupBy("key").count().where("count > 1").select("key"), folder=folder)
+    if repeated.limit(1).count():
+        out = out.join(repeated, "key", "left_anti").unionAll(out.join(repeated, "key", "left_semi").dropDuplicates(["key"]))
+    return out
 
 
 def tile_of(rank: str) -> Column:

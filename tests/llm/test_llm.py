@@ -304,3 +304,11 @@ def test_jaccard_tiles(spark, monkeypatch, links):
     assert [got[i].component_id for i in range(70)] == least and 0 < sum(map(len, linked)) < 70 * 69
     if links:
         assert [got[i].n_links for i in range(70)] == [len(x) for x in linked]
+
+
+def test_jaccard_repeated_rows(spark):
+    """Rows that repeat an id, with the same text and with another, count once as sets and each as a row."""
+    words = [f"w{k}" for k in range(80)]
+    rows = [(7, " ".join(words)), (7, " ".join(words)), (7, " ".join(words[::-1])), (9, " ".join(words + ["x"])), (9, " ".join(words + ["x"])), (11, " ".join(words[::-1] + ["y"]))]
+    got = sorted((r.doc_id, r.n_shingles, r.component_id, r.n_links) for r in jaccard_join.join(spark.createDataFrame(rows, "doc_id long, text string"), links=True).collect())
+    assert got == [(7, 76, 7, 1), (7, 76, 7, 3), (7, 76, 7, 3), (9, 77, 7, 3), (9, 77, 7, 3), (11, 77, 7, 1)]
