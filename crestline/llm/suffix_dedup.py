@@ -84,7 +84,7 @@ def stretch(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndar
     return text[start[begin]], start[begin], start[last], h[at[start[begin]]]
 
 
-def order_of(columns: list[np.ndarray]) -> np.ndarray:
+def order_of(columns: list[np.ndarray], kind: str | None = None) -> np.ndarray:
     """An order by several columns of whole numbers >= 0; they are packed into one key where 63 bits hold it."""
     bits = [int(c.max()).bit_length() if len(c) else 0 for c in columns]
     if sum(bits) > 63:
@@ -92,7 +92,7 @@ def order_of(columns: list[np.ndarray]) -> np.ndarray:
     key = columns[0].astype(np.int64)
     for c, b in zip(columns[1:], bits[1:]):
         key = key << b | c
-    return np.argsort(key)
+    return np.argsort(key, kind=kind)
 
 
 def ranks_of(columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -111,39 +111,31 @@ def suffix_order(t: np.ndarray) -> np.ndarray:
     n = len(t)
     if n < 8:
         return np.array(sorted(range(n), key=lambda i: t[i:].tolist()), np.int64)
-    s = np.concatenate([t, np.zeros(3, t.dtype)])
     ones, twos = np.arange(1, n + 1, 3), np.arange(2, n + 1, 3)  # with the place n, so that the two never run together
-    sample = np.concatenate([ones, twos])
-    s = np.concatenate([s, np.zeros(3, t.dtype)])
-    order, names = ranks_of([s[sample], s[sample + 1], s[sample + 2]])
-    if names.max() + 1 < len(sample):
+    s = np.concatenate([t, np.zeros(6, t.dtype)])
+    order, names = ranks_of([np.concatenate([s[1 + k : n + 1 + k : 3], s[2 + k : n + 1 + k : 3]]) for k in range(3)])
+    if names.max() + 1 < len(names):
         order = suffix_order(names + 1)
     rank = np.zeros(n + 6, np.int64)
-    rank[sample[order]] = np.arange(1, len(sample) + 1)
-    sampled = sample[order]
-    sampled = sampled[sampled < n]
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(1, len(order) + 1)
+    rank[1 : n + 1 : 3], rank[2 : n + 1 : 3] = place[: len(ones)], place[len(ones) :]
+    sampled = np.concatenate([ones, twos])[order]
+    first = order < len(ones)
+    if sampled[0] == n:  # the end sorts before all
+        sampled, first = sampled[1:], first[1:]
     rest = np.arange(0, n, 3)
-    rest = rest[order_of([s[rest], rank[rest + 1]])]
+    rest = rest[order_of([s[0:n:3], rank[1 : n + 1 : 3]])]
     # Merge: the place of each remaining suffix among the sampled ones, by the keys that the cover makes comparable.
-    out = np.empty(n, np.int64)
-    for kind in (1, 2):
-        own = sampled[sampled % 3 == kind]
-        if kind == 1:
-            keys = [np.concatenate([s[own], s[rest]]), np.concatenate([rank[own + 1], rank[rest + 1]])]
-        else:
-            keys = [np.concatenate([s[own], s[rest]]), np.concatenate([s[own + 1], s[rest + 1]]), np.concatenate([rank[own + 2], rank[rest + 2]])]
-        mixed = order_of(keys)
+    ahead = np.arange(len(rest))
+    for own, ahead_by in ((sampled[first], 1), (sampled[~first], 2)):
+        at = np.concatenate([own, rest])
+        mixed = order_of([*(s[at + k] for k in range(ahead_by)), rank[at + ahead_by]], "stable")  # two runs in order already
         is_rest = mixed >= len(own)
-        before = np.cumsum(~is_rest)[is_rest]  # sampled suffixes of this kind before each remaining one, in order
-        after = np.cumsum(is_rest)[~is_rest]  # remaining suffixes before each sampled one
-        if kind == 1:
-            ahead, first_after, first_own = before, after, own
-        else:
-            ahead, second_after, second_own = ahead + before, after, own
-    out[ahead + np.arange(len(rest))] = rest
-    after = np.zeros(n, np.int64)
-    after[first_own], after[second_own] = first_after, second_after
-    out[np.arange(len(sampled)) + after[sampled]] = sampled
+        ahead += np.cumsum(~is_rest)[is_rest]  # sampled suffixes of this kind before each remaining one, in order
+    out, taken = np.empty(n, np.int64), np.zeros(n, bool)
+    out[ahead], taken[ahead] = rest, True
+    out[~taken] = sampled
     return out
 
 
@@ -152,23 +144,27 @@ def settle(pieces: list[bytes], doc: np.ndarray, length: int) -> list[tuple[int,
     lengths = np.array([len(p) for p in pieces])
     begin = np.cumsum(np.r_[0, lengths[:-1] + 1])
     n = int(begin[-1] + lengths[-1] + 1)
-    text = np.ones(n, np.int64)  # a piece ends with 1; bytes count from 2
-    raw = np.frombuffer(b"\0".join(pieces) + b"\0", np.uint8)
+    raw = np.frombuffer(b"\0".join(pieces) + bytes(9), np.uint8)
     owner = np.repeat(np.arange(len(pieces)), lengths + 1)
     ends = begin + lengths
-    inside = np.ones(n, bool)
-    inside[ends] = False
-    text[inside] = raw[inside].astype(np.int64) + 2
+    # A piece ends with a number of its own, so no suffix is compared beyond its piece; bytes count from there.
+    text = raw[:n].astype(np.int64) + len(pieces) + 1
+    text[ends] = np.arange(1, len(pieces) + 1)
     order = suffix_order(text)
     order = order[order + length <= ends[owner[order]]]
     if len(order) < 2:
         return []
+    # Eight bytes at a time; the last eight may overlap those before.
+    width = min(8, length)
+    eight = np.ndarray((n,), np.uint64, raw, strides=(1,))
+    mask = np.uint64((1 << 8 * width) - 1)
     same = np.ones(len(order) - 1, bool)
-    for k in range(length):
+    for k in [*range(0, length - width, width), length - width]:
         at = np.flatnonzero(same)
         if not len(at):
             break
-        same[at] = text[order[at] + k] == text[order[at + 1] + k]
+        x = eight[order + k] & mask if len(at) * 2 > len(same) else None
+        same[at] = x[at] == x[at + 1] if x is not None else (eight[order[at] + k] ^ eight[order[at + 1] + k]) & mask == 0
     group = np.cumsum(np.r_[0, ~same])
     least = np.full(group[-1] + 1, np.iinfo(np.int64).max)
     np.minimum.at(least, group, doc[owner[order]])

@@ -312,3 +312,14 @@ def test_jaccard_repeated_rows(spark):
     rows = [(7, " ".join(words)), (7, " ".join(words)), (7, " ".join(words[::-1])), (9, " ".join(words + ["x"])), (9, " ".join(words + ["x"])), (11, " ".join(words[::-1] + ["y"]))]
     got = sorted((r.doc_id, r.n_shingles, r.component_id, r.n_links) for r in jaccard_join.join(spark.createDataFrame(rows, "doc_id long, text string"), links=True).collect())
     assert got == [(7, 76, 7, 1), (7, 76, 7, 3), (7, 76, 7, 3), (9, 77, 7, 3), (9, 77, 7, 3), (11, 77, 7, 1)]
+
+
+def test_suffix_order_depth(monkeypatch):
+    """Pieces end with numbers of their own, so equal pieces in a row do not deepen the recursion."""
+    calls = []
+    order = suffix_dedup.suffix_order
+    monkeypatch.setattr(suffix_dedup, "suffix_order", lambda t: calls.append(len(t)) or order(t))
+    piece = bytes(np.random.default_rng(3).integers(97, 123, 80).astype(np.uint8))
+    got = suffix_dedup.settle([piece] * 300 + [b"x" + piece], np.array([5] * 300 + [6]), 50)
+    assert got == [(300, 1, 81)]
+    assert len(calls) <= 5
