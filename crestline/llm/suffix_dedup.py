@@ -22,6 +22,7 @@ an empty result; other columns are not read.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -34,8 +35,10 @@ from .shingles import buffers, mix, powers
 
 LENGTH = 50
 GRAM = 16
-SLICE = 8 << 20
+SLICE = 128 << 20  # shared anchors of a pass over the texts
+FILTER_BITS = 29  # 64 MB in a worker, four bits an anchor of a full pass at least
 SEEN = 300_000
+SEGMENT = 23  # bits of a filter's segment, a power of two
 BROADCAST_SPANS = 1 << 20
 SORT_BYTES = 1 << 17  # what a processor's cache holds as ranks
 _PLACE = np.uint64((1 << 26) - 1)
@@ -163,8 +166,7 @@ def settle(pieces: list[bytes], doc: np.ndarray, length: int) -> list[tuple[int,
         at = np.flatnonzero(same)
         if not len(at):
             break
-        x = eight[order + k] & mask if len(at) * 2 > len(same) else None
-        same[at] = x[at] == x[at + 1] if x is not None else (eight[order[at] + k] ^ eight[order[at + 1] + k]) & mask == 0
+        same[at] = (eight[order[at] + k] ^ eight[order[at + 1] + k]) & mask == 0
     group = np.cumsum(np.r_[0, ~same])
     least = np.full(group[-1] + 1, np.iinfo(np.int64).max)
     np.minimum.at(least, group, doc[owner[order]])
@@ -196,35 +198,75 @@ def repeated(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text
             columns = [h[head].view(np.int64), np.minimum.reduceat(own, head), np.maximum.reduceat(own, head)]
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["anchor", "low", "high"])
 
-    def owned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """(anchor, id) of every text."""
-        for batch in chunks(batches, "text", 1 << 20):
-            k, _, _, h = windows(*buffers(batch.column("text")), length)
-            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(batch.column("id").to_numpy()[k])], ["anchor", "id"])
-
     texts = source.select("id", "text")
     shared = cut(texts.mapInArrow(anchors, "anchor long, low long, high long").groupBy("anchor").agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low < high").select("anchor"))
-    if shared.count() <= SLICE:
-        parts = [np.frombuffer(r.a, np.int64) for r in shared.mapInArrow(packed_anchors, "a binary").toLocalIterator()]
-        wanted = spark.sparkContext.broadcast(np.sort(np.concatenate(parts).view(np.uint64)) if parts else np.empty(0, np.uint64))
-        rows = source.mapInArrow(pieces(length, wanted), PIECES)
-    else:
-        # Each text is sent along with its own shared anchors, however many the corpus has.
-        own = texts.mapInArrow(owned, "anchor long, id long").distinct().join(shared, "anchor").groupBy("id").agg(F.collect_list("anchor").alias("anchors"))
-        rows = source.join(own, "id").mapInArrow(pieces(length, None), PIECES)
-    return rows.repartition("anchor").sortWithinPartitions("anchor", "mark", "id").mapInArrow(sorter(length), "id long, hash long, start long, stop long")
+    count = shared.count()
+    passes = max(1, -(-count // max(SLICE, 64)))
+    found = []
+    for part in range(passes):
+        own = shared.where(F.pmod("anchor", F.lit(passes)) == part) if passes > 1 else shared
+        wanted = spark.sparkContext.broadcast(filter_of(own, -(-count // passes)))
+        rows = source.mapInArrow(pieces(length, wanted, passes, part), PIECES)
+        out = rows.repartition("anchor").sortWithinPartitions("anchor", "mark", "id").mapInArrow(sorter(length), "id long, hash long, start long, stop long")
+        found.append(cut(out) if passes > 1 else out)
+    return reduce(DataFrame.unionAll, found)
 
 
-def packed_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        yield pa.RecordBatch.from_arrays([pa.array([batch.column(0).to_numpy().tobytes()], pa.binary())], ["a"])
+def places(anchors: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The two places of each anchor in a filter of 2^bits bits; both lie in one segment of 2^SEGMENT bits."""
+    h = mix(anchors)
+    low = np.uint64((1 << min(bits, SEGMENT)) - 1)
+    return h & np.uint64((1 << bits) - 1), h & np.uint64((1 << bits) - 1) & ~low | h >> np.uint64(32) & low
+
+
+def filter_of(anchors: DataFrame, count: int) -> np.ndarray:
+    """Bytes of a filter that holds every anchor (and lets a few others by): 16 bits each and more, at most 2^FILTER_BITS in all.
+
+    Its segments are filled in tasks; the driver puts them next to each other.
+    """
+    bits = min(FILTER_BITS, max(10, (16 * count).bit_length()))
+
+    def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            first, second = places(batch.column(0).to_numpy().view(np.uint64), bits)
+            low = np.uint64((1 << SEGMENT) - 1)
+            columns = [(first >> np.uint64(SEGMENT)).astype(np.int32), (first & low).astype(np.int32), (second & low).astype(np.int32)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["segment", "first", "second"])
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made: dict[int, np.ndarray] = {}
+        for batch in batches:
+            segment, *own = (batch.column(c).to_numpy() for c in ("segment", "first", "second"))
+            for i in np.unique(segment).tolist():
+                flags = made.setdefault(i, np.zeros(1 << min(bits, SEGMENT) - 3, np.uint8))
+                for at in own:
+                    at = at[segment == i]
+                    np.bitwise_or.at(flags, at >> 3, np.uint8(1) << (at & 7).astype(np.uint8))
+        for i, flags in made.items():
+            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([flags.tobytes()], pa.binary())], ["segment", "flags"])
+
+    dealt = anchors.mapInArrow(segments, "segment int, first int, second int").repartition("segment").mapInArrow(fill, "segment int, flags binary")
+    out = np.zeros(1 << bits - 3, np.uint8)
+    for r in dealt.toLocalIterator():
+        begin = r.segment << SEGMENT - 3
+        out[begin : begin + len(r.flags)] = np.frombuffer(r.flags, np.uint8)
+    return out
+
+
+def passes_filter(anchors: np.ndarray, flags: np.ndarray) -> np.ndarray:
+    first, second = places(anchors, int(len(flags)).bit_length() + 2)
+    found = flags[first >> np.uint64(3)] >> (first & np.uint64(7)).astype(np.uint8) & 1
+    return (found & flags[second >> np.uint64(3)] >> (second & np.uint64(7)).astype(np.uint8)).astype(bool)
 
 
 PIECES = "anchor long, mark long, piece binary, id long, hash long, start long, stop long"
 
 
-def pieces(length: int, wanted):
-    """Texts to the pieces of their shared anchors; a piece that the task has seen in a smaller document goes without its bytes."""
+def pieces(length: int, wanted, passes: int = 1, part: int = 0):
+    """Texts to the pieces of their shared anchors (of a part of them); a piece that the task has seen in a smaller document goes without its bytes.
+
+    The few anchors of one document that the filter lets by cost their rows and change nothing.
+    """
 
     hash_of = xxhash.xxh3_64_intdigest
 
@@ -235,14 +277,10 @@ def pieces(length: int, wanted):
             k, first, last, h = windows(data, offsets, length)
             if not len(h):
                 continue
-            if wanted is not None:
-                anchors = wanted.value
-            else:
-                anchors = np.unique(batch.column("anchors").flatten().to_numpy().view(np.uint64))
-            if not len(anchors):
-                continue
-            at = np.minimum(np.searchsorted(anchors, h), len(anchors) - 1)
-            keep = np.flatnonzero(anchors[at] == h)
+            keep = passes_filter(h, wanted.value)
+            if passes > 1:
+                keep &= h.view(np.int64) % passes == part
+            keep = np.flatnonzero(keep)
             if not len(keep):
                 continue
             k, first, stop = k[keep], first[keep], last[keep] + length

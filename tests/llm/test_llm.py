@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import re
+import time
 import zlib
 
 import numpy as np
@@ -314,6 +315,51 @@ def test_jaccard_repeated_rows(spark):
     assert got == [(7, 76, 7, 1), (7, 76, 7, 3), (7, 76, 7, 3), (9, 77, 7, 3), (9, 77, 7, 3), (11, 77, 7, 1)]
 
 
+def test_cut_drops_shuffle_files(spark):
+    import os
+    from pathlib import Path
+
+    from crestline.llm.common import cut
+
+    def files():
+        folders = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+        return {x for f in folders for r, _, own in os.walk(f) for x in own if x.startswith("shuffle")}
+
+    before = files()
+    held = spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count()
+    written = cut(held, tidy=False)
+    for _ in range(50):
+        if files() <= before:
+            break
+        time.sleep(0.1)
+    assert not files() - before
+    assert written.count() == held.count() == 7
+
+
+def test_suffix_passes(spark, monkeypatch):
+    """Shared anchors beyond SLICE go in several passes over the texts, none of which joins or shuffles whole texts."""
+    rng = np.random.default_rng(4)
+    line = ["".join(chr(97 + c) for c in rng.integers(0, 26, 70)) for _ in range(60)]
+    rows = [(d, " ".join(line[i] for i in rng.choice(60, 12, replace=False)) + " " + "ab" * int(rng.integers(0, 60))) for d in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = {}
+    for i, t in rows:
+        gone = {q for p in range(len(t) - 49) if any(t[p : p + 50] in u for j, u in rows if j < i) for q in range(p, p + 50)}
+        want[i] = "".join(c for q, c in enumerate(t) if q not in gone).encode()
+    read = []
+    filter_of = suffix_dedup.filter_of
+    monkeypatch.setattr(suffix_dedup, "filter_of", lambda own, count: read.append(own.count()) or filter_of(own, count))
+    for limit in (suffix_dedup.SLICE, 64):
+        monkeypatch.setattr(suffix_dedup, "SLICE", limit)
+        assert {r.doc_id: bytes(r.kept) for r in suffix_dedup.deduplicated(docs).collect()} == want
+    assert len(read) > 2 and read[0] == sum(read[1:])
+    own, other = rng.integers(-(2**63), 2**63, (2, 20000))
+    flags = filter_of(spark.createDataFrame([(int(x),) for x in own], "anchor long"), 2_000_000)  # several segments
+    assert len(flags) << 3 > 2 << suffix_dedup.SEGMENT
+    assert suffix_dedup.passes_filter(own.view(np.uint64), flags).all()
+    assert suffix_dedup.passes_filter(other.view(np.uint64), flags).mean() < 0.01
+
+
 def test_suffix_order_depth(monkeypatch):
     """Pieces end with numbers of their own, so equal pieces in a row do not deepen the recursion."""
     calls = []
