@@ -12,7 +12,7 @@
    task returns a spanning forest of the pairs that pass, at most a row for each member and never the pairs; sets of one
    bag are not tried again, so a group of near copies costs its members, not their pairs. What the forests connect is a
    bag: every pair that reaches the threshold lies within one.
-4. Intersection. Each bag's sorted arrays are dealt out once, in tiles by size, and its pairs are intersected exactly. A
+4. Intersection. Each bag's sorted arrays, made from the texts once more, are dealt out in tiles by size, and its pairs are intersected exactly. A
    task returns a spanning forest of the links and how many links each member has; without links asked for, sets that
    are connected already are not intersected. A bag of more than a tile is repeated for each pair of its tiles in reach.
 5. Classes over all forests are spread to the documents.
@@ -27,7 +27,6 @@ table gives an empty result; other columns are not read. Memory of a task: about
 from __future__ import annotations
 
 from collections.abc import Iterator
-from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +34,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import components
-from .common import chunks, cut, remove, shared_dir, text_or_empty
+from .common import chunks, cut, remove, settings, shared_dir, text_or_empty
 from .shingles import mix, sets
 
 HOT_LIST = 1 << 18
@@ -238,8 +237,11 @@ def bounded(pairs: DataFrame, maps: DataFrame, percent: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").where(near).select("a", "b", "n1", "n2", "bits1", "bits2").mapInArrow(run, "a long, b long")
 
 
-def arrays_of(docs: DataFrame, maps: DataFrame, keys: DataFrame, id_col: str, text_col: str, folder: str) -> DataFrame:
-    """key and shingles (sorted 64-bit words as bytes) of the sets wanted (keys), one row each.
+def arrays_of(docs: DataFrame, maps: DataFrame, keys: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """key and shingles (sorted 64-bit words as bytes) of the sets wanted (keys), one row each from a task at most.
+
+    Nothing is written here: arrays are as large as the texts, so they go to where they are met as they are made. Only
+    a set whose id (or nameless row) repeats comes from several tasks.
 
     The ids go to the workers as an array of whole numbers while it is at most ID_BYTES, else texts are joined. A set
     that only rows without an id have is found among those rows by its key.
@@ -265,20 +267,18 @@ def arrays_of(docs: DataFrame, maps: DataFrame, keys: DataFrame, id_col: str, te
             yield batch
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for part in chunks(batches, "text", CHUNK):
-            own = list(sets(part.column("text")))
-            yield pa.RecordBatch.from_arrays([pa.array([key_of(s) for s in own], pa.int64()), pa.array([s.tobytes() for s in own], pa.binary())], ["key", "shingles"])
+            own = {key_of(s): s for s in sets(part.column("text"))}
+            own = {k: s for k, s in own.items() if k not in seen}
+            seen.update(own)
+            yield pa.RecordBatch.from_arrays([pa.array(list(own), pa.int64()), pa.array([s.tobytes() for s in own.values()], pa.binary())], ["key", "shingles"])
 
     shape = "key long, shingles binary"
     out = known.mapInArrow(lambda batches: run(listed(batches)), shape)
     nameless = wanted.where("id IS NULL").select("key")
     if nameless.limit(1).count():
         out = out.unionAll(source.where("id IS NULL").mapInArrow(run, shape).join(nameless, "key", "left_semi"))
-    out = cut(out, folder=folder)
-    # A key comes twice only where an id or a nameless row repeats; only those arrays are dealt by key here.
-    repeated = cut(out.groupBy("key").count().where("count > 1").select("key"), folder=folder)
-    if repeated.limit(1).count():
-        out = out.join(repeated, "key", "left_anti").unionAll(out.join(repeated, "key", "left_semi").dropDuplicates(["key"]))
     return out
 
 
@@ -424,6 +424,10 @@ def intersected(percent: int, links: bool):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_pairs(batches):
+            place = np.array([table.column(c).to_numpy() for c in ("token", "t1", "t2", "key")])
+            again = (place[:, 1:] == place[:, :-1]).all(axis=0)
+            if again.any():
+                table = table.filter(pa.array(np.r_[True, ~again]))
             n, key, copies = (table.column(c).to_numpy() for c in ("n", "key", "copies"))
             second, arrays = table.column("second").to_numpy(zero_copy_only=False), table.column("shingles")
             out: list[tuple] = []
@@ -439,18 +443,9 @@ def intersected(percent: int, links: bool):
     return run
 
 
-@contextmanager
 def small_batches(spark: SparkSession):
-    """Arrow batches of BATCH_ROWS rows and BATCH_BYTES bytes at most within the block; the session's settings come back after it."""
-    wanted = {"spark.sql.execution.arrow.maxRecordsPerBatch": str(BATCH_ROWS), "spark.sql.execution.arrow.maxBytesPerBatch": str(BATCH_BYTES)}
-    before = {k: spark.conf.get(k, None) for k in wanted}
-    for k, v in wanted.items():
-        spark.conf.set(k, v)
-    try:
-        yield
-    finally:
-        for k, v in before.items():
-            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    """Arrow batches of BATCH_ROWS rows and BATCH_BYTES bytes at most within the block."""
+    return settings(spark, spark__sql__execution__arrow__maxRecordsPerBatch=str(BATCH_ROWS), spark__sql__execution__arrow__maxBytesPerBatch=str(BATCH_BYTES))
 
 
 def join(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", links: bool = False) -> DataFrame:
@@ -474,19 +469,20 @@ def _join(docs: DataFrame, percent: int, id_col: str, text_col: str, links: bool
     index = cut(shared_index(docs, hot, percent, text_col), folder=first)
 
     pairs = [index.select(F.least("key", c).alias("a"), F.greatest("key", c).alias("b")).where("a <> b") for c in ("hub", "before")]
-    near = cut(bounded(pairs[0].unionAll(pairs[1]).distinct(), maps, percent), folder=first)
+    # Forests are small whatever number of tasks finds them; rebalanced, they are written in few files.
+    near = cut(bounded(pairs[0].unionAll(pairs[1]).distinct(), maps, percent).hint("rebalance"), folder=first)
     place = ["token", "t1", "t2"]
     members = cut(in_several(index, cut(components.label(near), folder=first)), folder=first)
     dealt = tile_pairs(members, percent).join(maps.select("key", "bits"), "key").select(*place, "second", "n", "key", "mid", "bag", "bits")
-    more = cut(dealt.repartition(*place).sortWithinPartitions(*place, "n", "key").mapInArrow(cross(percent), "a long, b long"), folder=first)
+    more = cut(dealt.repartition(*place).sortWithinPartitions(*place, "n", "key").mapInArrow(cross(percent), "a long, b long").hint("rebalance"), folder=first)
     bags = cut(components.label(near.unionAll(more)).withColumnsRenamed({"node": "key", "root": "token"}))
     remove(spark, first)
 
     ranked = bags.join(maps.select("key", "n", "copies"), "key").withColumn("rank", F.row_number().over(Window.partitionBy("token").orderBy("n", "key")) - 1)
     members = cut(ranked.select("token", tile_of("rank").alias("tile"), "n", "key", F.lit(True).alias("mid"), "copies"), folder=second)
-    arrays = arrays_of(docs, maps, bags.select("key"), id_col, text_col, second)
+    arrays = arrays_of(docs, maps, bags.select("key"), id_col, text_col)
     dealt = tile_pairs(members, percent).join(arrays, "key").select(*place, "second", "n", "key", "copies", "shingles")
-    told_links = cut(dealt.repartition(*place).sortWithinPartitions(*place, "n", "key").mapInArrow(intersected(percent, links), "a long, b long, linked long"))
+    told_links = cut(dealt.repartition(*place).sortWithinPartitions(*place, "n", "key").mapInArrow(intersected(percent, links), "a long, b long, linked long").hint("rebalance"))
     remove(spark, second)
 
     classes = cut(components.label(told_links.where("b IS NOT NULL").select("a", "b")))

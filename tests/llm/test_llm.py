@@ -369,3 +369,16 @@ def test_suffix_order_depth(monkeypatch):
     got = suffix_dedup.settle([piece] * 300 + [b"x" + piece], np.array([5] * 300 + [6]), 50)
     assert got == [(300, 1, 81)]
     assert len(calls) <= 5
+
+
+def test_jaccard_arrays_are_not_written(spark, monkeypatch):
+    """Arrays go straight to their tiles; those of a row that comes from several tasks count once."""
+    written = []
+    cut = jaccard_join.cut
+    monkeypatch.setattr(jaccard_join, "cut", lambda df, **kw: written.append(df.columns) or cut(df, **kw))
+    words = [f"w{k}" for k in range(60)]
+    rows = [(1, " ".join(words)), (2, " ".join(words + ["more"])), (1, " ".join(words)), (None, " ".join(words[1:])), (None, " ".join(words[1:]))] * 3
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    got = jaccard_join.join(docs, links=True).collect()
+    assert len(got) == 15 and {(r.component_id, r.n_links) for r in got} == {(1, 14)}
+    assert written and not [c for c in written if "shingles" in c]
