@@ -198,7 +198,8 @@ def write(docs: DataFrame, tokenizer_path: str, end_id: int, length: int = 2048,
         if done:
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*done)], ["stem", "part", "seq", "n_docs", "n_ids"])
 
-    files = cut(ordered.mapInArrow(run, "stem string, part long, seq long, n_docs long, n_ids long"))
+    # A row a file: few enough to be written by few tasks, each of which costs its files and folders.
+    files = cut(ordered.mapInArrow(run, "stem string, part long, seq long, n_docs long, n_ids long").hint("rebalance"))
     before = Window.orderBy("part", "seq").rowsBetween(Window.unboundedPreceding, -1)
     return files.withColumn("base", F.coalesce(F.sum("n_ids").over(before), F.lit(0)))
 
@@ -258,7 +259,10 @@ def read(manifest: DataFrame, key_type: str, id_col: str = "doc_id") -> DataFram
         return pa.RecordBatch.from_arrays([pa.array(keys, arrow_key), pa.array(starts, pa.int64()), pa.array(counts, pa.int64()), pa.array(ids, pa.binary())], ["key", "start", "n_tokens", "ids"])
 
     arrow_key = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}.get(key_type)
-    files = spread(manifest.select("stem", "base"), manifest.count())
+    files, n_ids = manifest.agg(F.count("*"), F.sum("n_ids")).first()
+    # A task for each FILE_IDS / 8 ids, so that small files do not cost a task each; two for each core at least.
+    tasks = min(files, max(-(-8 * (n_ids or 0) // FILE_IDS), 2 * manifest.sparkSession.sparkContext.defaultParallelism))
+    files = spread(manifest.select("stem", "base"), tasks)
     return files.mapInArrow(run, f"key {key_type}, start long, n_tokens long, ids binary").withColumnRenamed("key", id_col)
 
 

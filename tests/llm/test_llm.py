@@ -382,3 +382,12 @@ def test_jaccard_arrays_are_not_written(spark, monkeypatch):
     got = jaccard_join.join(docs, links=True).collect()
     assert len(got) == 15 and {(r.component_id, r.n_links) for r in got} == {(1, 14)}
     assert written and not [c for c in written if "shingles" in c]
+
+
+def test_token_files_of_few_ids(docs):
+    """Many small files are read back by two tasks a core, not by one each."""
+    files = token_files.write(docs, P.path("word_bpe_49k.json"), 2, length=16, file_ids=1)
+    assert files.count() == 12
+    back = token_files.read(files, "bigint")
+    assert back.rdd.getNumPartitions() == 8
+    assert back.count() == 12
